@@ -38,7 +38,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e = slice(s, s + 100_000)
             k = len(key[e])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[e]), pa.array(key[e]), pa.array(n[e].astype(np.int64)), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int32()))],
+                [pa.array(cell[e]), pa.array(key[e]), pa.array(n[e].astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
                 names=["cell", "key", "n", "xs", "ys"],
             )
 
@@ -62,6 +62,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of each part of a huge basket as the bytes of their 16-bit places: compact, and cheap where absent."""
+    for b in batches:
+        lists = b.column(2)
+        off = np.asarray(lists.offsets)
+        places = (np.asarray(lists.values) & 4095).astype("<i2")
+        packed = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((off * 2).astype(np.int32)), pa.py_buffer(places)])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], names=["u", "c", "at"])
+
+
 def _cells(min_pair: int, side: int):
     """Rows sorted by (cell, key), products first (their key is -1): total counts per pair, those of ``min_pair`` on."""
 
@@ -108,7 +118,7 @@ def _cells(min_pair: int, side: int):
                     cell, grid = int(cells[s]), None
                 m = s + int(np.searchsorted(keys[s:e], 0))  # products have key -1
                 for r in range(s, m):
-                    xs, ys = np.asarray(batch.column(3)[r].values), np.asarray(batch.column(4)[r].values)
+                    xs, ys = (np.frombuffer(batch.column(c)[r].as_buffer(), "<i2") for c in (3, 4))
                     if grid is None:
                         grid = np.zeros((side, side), np.int32)
                     grid[np.ix_(xs, ys)] += 1
@@ -172,12 +182,12 @@ def cooccurrence(
     sizes = parts.groupBy("u").agg(F.sum("n").alias("total"))
     big = sizes.where(F.col("total") > huge).select("u")
     small = parts.join(big, "u", "left_anti").groupBy("u").agg(F.flatten(F.collect_list("codes")).alias("codes")).select("codes")
-    shape = "cell bigint, key bigint, n bigint, xs array<int>, ys array<int>"
+    shape = "cell bigint, key bigint, n bigint, xs binary, ys binary"
     ordinary = small.mapInArrow(_pairs, shape)
 
-    place_of = F.transform("codes", lambda v: v.bitwiseAND(F.lit(4095)))
-    split = parts.join(big, "u", "left_semi").select("u", "c", place_of.alias("codes"))
-    x, y = split.select("u", F.col("c").alias("cx"), F.col("codes").alias("xs")), split.select("u", F.col("c").alias("cy"), F.col("codes").alias("ys"))
+    whose = pairs.schema["u"].dataType.simpleString()
+    split = parts.join(big, "u", "left_semi").select("u", "c", "codes").mapInArrow(_places, f"u {whose}, c int, at binary")
+    x, y = split.select("u", F.col("c").alias("cx"), F.col("at").alias("xs")), split.select("u", F.col("c").alias("cy"), F.col("at").alias("ys"))
     cell = F.shiftleft(F.col("cx").cast("bigint"), 32).bitwiseOR(F.col("cy").cast("bigint"))
     # Spread before the products are listed: a basket with a third of all rows has many chunks.
     products = x.join(y, "u").where("cx <= cy").select(cell.alias("cell"), F.lit(-1).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "xs", "ys")
