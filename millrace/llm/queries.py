@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.bait import bait_pages
 from millrace.llm.bpe import encode_ids
 from millrace.llm.cooccurrence import cooccurrence
 from millrace.llm.packing import fill_containers, fill_rates
@@ -57,6 +58,10 @@ def p8_fill_rates(spark: SparkSession, d: str) -> DataFrame:
     return fill_rates(p8_containers(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return bait_pages(table(spark, d, "documents"), key="doc_id", text="text", host="repo").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_items": p1_top_items,
@@ -66,6 +71,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill_rates": p8_fill_rates,
+    "p9_found": p9_found,
 }
 
 _TOP_SQL = f"""WITH {COUNTED_SQL},
