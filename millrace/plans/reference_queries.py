@@ -1,0 +1,658 @@
+"""Queries over the driver's star schema, one or more per operator of the engine, and the SQL they are held against.
+
+The interaction log is orders, lineitem and part: the customer takes a part at the ship date. Time is in seconds.
+"""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import vectors as V
+from millrace.functions.generator_math import cumulative, trend_table, zipf_weights
+from millrace.functions.hashing import uniform_sql, with_uniforms
+from millrace.operators import baselines, metrics, search, stats
+from millrace.operators.ranker import Ranker, pair_features, training_pairs
+from millrace.operators.sampling import negative_samples, positive_sample
+from millrace.operators.split import Split, leak_check, temporal_split
+from millrace.operators.trainer import TrainConfig, batch_bias_gradients, batch_losses, train
+from millrace.plans.pipeline import PipelineConfig, run
+from millrace.schema import table
+from millrace.session import cut
+from millrace.sources.generator import Catalogue, GeneratorConfig, generate
+from millrace.streaming.histogram import counts, head_share, read_events, run_to_end, windowed_popularity
+
+K, SEED, TAU = 20, 42, 0.05
+#: Vectors in the embeddings table that stand in for towers: an id maps to id % TOWER.
+TOWER = 500
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    li = table(spark, d, "lineitem")
+    sec = F.unix_micros(F.col("l_shipdate").cast("timestamp")).cast("double") / 1e6
+    # The keys together identify a row; lines of an order share numbers.
+    number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")
+    li = li.select("l_orderkey", number.alias("event_id"), F.col("l_partkey").alias("item_id"), sec.alias("ts"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("category"))
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, "item_id").select("event_id", "user_id", "item_id", "ts", "category")
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("category"))
+
+
+def users(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+
+
+def _split(spark: SparkSession, d: str) -> Split:
+    return temporal_split(log(spark, d))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), F.col("label").alias("cell"))
+
+
+def searchers(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 20."""
+    return vectors(spark, d).where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vec")
+
+
+LOG_SQL = """log AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS event_id, o_custkey AS user_id, l_partkey AS item_id,
+    CAST(epoch_us(l_shipdate) AS DOUBLE) / 1e6 AS ts, p_brand AS category
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+SPLIT_SQL = f"""{LOG_SQL},
+thr AS (SELECT quantile_cont(ts, 0.8) AS t FROM log),
+train AS (SELECT log.* FROM log JOIN thr ON ts < t),
+test AS (SELECT log.* FROM log JOIN thr ON ts >= t),
+history AS (SELECT DISTINCT user_id, item_id FROM train),
+gt AS (SELECT DISTINCT e.user_id, e.item_id FROM test e WHERE e.user_id IN (SELECT user_id FROM history)
+  AND NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = e.user_id AND h.item_id = e.item_id)),
+ev AS (SELECT DISTINCT user_id FROM gt)"""
+STATS_SQL = f"""{SPLIT_SQL},
+ic AS (SELECT p.p_partkey AS item_id, count(t.item_id) AS n, coalesce(avg(t.ts), 0.0) AS mean_ts
+  FROM part p LEFT JOIN train t ON t.item_id = p.p_partkey GROUP BY p.p_partkey),
+ist AS (SELECT item_id, n, CAST(n + 1 AS DOUBLE) / CAST(sum(n + 1) OVER () AS DOUBLE) AS prob, mean_ts,
+  row_number() OVER (ORDER BY n DESC, item_id) AS pop_rank FROM ic),
+ch AS (SELECT user_id, category, count(*) AS n FROM train GROUP BY user_id, category),
+dom AS (SELECT user_id, category AS dom_cat FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS r FROM ch) WHERE r = 1),
+uc AS (SELECT user_id, count(*) AS n, avg(ts) AS mean_ts FROM train GROUP BY user_id),
+ust AS (SELECT c_custkey AS user_id, coalesce(uc.n, 0) AS n, coalesce(uc.mean_ts, 0.0) AS mean_ts, dom_cat
+  FROM customer LEFT JOIN uc ON uc.user_id = c_custkey LEFT JOIN dom ON dom.user_id = c_custkey)"""
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# -- split ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SPLIT_SQL} SELECT t AS threshold FROM thr")
+def split_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(_split(spark, d).threshold,)], "threshold double")
+
+
+@query(f"WITH {SPLIT_SQL} SELECT (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM test) AS n_test")
+def temporal_split_counts(spark: SparkSession, d: str) -> DataFrame:
+    return leak_check(_split(spark, d)).select("n_train", "n_test")
+
+
+@query(
+    f"""WITH {SPLIT_SQL} SELECT (SELECT count(*) FROM train) AS n_train, (SELECT max(ts) FROM train) AS max_train, (SELECT count(*) FROM test) AS n_test,
+(SELECT min(ts) FROM test) AS min_test, (SELECT count(*) FROM gt JOIN history h ON gt.user_id = h.user_id AND gt.item_id = h.item_id) AS n_leaked, true AS ok"""
+)
+def leak_check_row(spark: SparkSession, d: str) -> DataFrame:
+    return leak_check(_split(spark, d))
+
+
+@query(f"WITH {SPLIT_SQL} SELECT user_id, item_id FROM history")
+def train_history(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).history
+
+
+@query(f"WITH {SPLIT_SQL} SELECT user_id, item_id FROM gt")
+def ground_truth(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).ground_truth
+
+
+@query(f"WITH {SPLIT_SQL} SELECT user_id FROM ev")
+def eval_users(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).eval_users
+
+
+@query(f"WITH {SPLIT_SQL} SELECT max(n) AS max_seen FROM (SELECT count(*) AS n FROM history WHERE user_id IN (SELECT user_id FROM ev) GROUP BY user_id)")
+def max_history(spark: SparkSession, d: str) -> DataFrame:
+    s = _split(spark, d)
+    return s.history.join(s.eval_users, "user_id", "left_semi").groupBy("user_id").count().agg(F.max("count").alias("max_seen"))
+
+
+# -- statistics -------------------------------------------------------------------------------------------------------
+
+
+def _item_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.item_stats(_split(spark, d).train, items(spark, d))
+
+
+@query(f"WITH {STATS_SQL} SELECT item_id, n, round(prob, 12) AS prob, round(-log2(prob), 6) AS selfinfo, round(mean_ts, 3) AS mean_ts FROM ist")
+def item_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _item_stats(spark, d).withColumns({"prob": F.round("prob", 12), "selfinfo": F.round("selfinfo", 6), "mean_ts": F.round("mean_ts", 3)})
+
+
+@query(f"WITH {STATS_SQL} SELECT user_id, n, round(mean_ts, 3) AS mean_ts, dom_cat FROM ust")
+def user_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.user_stats(_split(spark, d).train, items(spark, d), users(spark, d)).withColumn("mean_ts", F.round("mean_ts", 3))
+
+
+@query(f"WITH {STATS_SQL} SELECT user_id, category, n FROM ch")
+def user_category_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.category_histogram(_split(spark, d).train, items(spark, d))
+
+
+@query(f"WITH {STATS_SQL} SELECT user_id, dom_cat FROM dom")
+def user_dominant_category(spark: SparkSession, d: str) -> DataFrame:
+    return stats.dominant_category(stats.category_histogram(_split(spark, d).train, items(spark, d)))
+
+
+@query(f"WITH {STATS_SQL} SELECT item_id, n, pop_rank FROM ist")
+def popularity_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return stats.popularity_ranking(_item_stats(spark, d))
+
+
+@query(f"WITH {STATS_SQL} SELECT item_id, round(ln(prob), 6) AS logq FROM ist")
+def logq_table(spark: SparkSession, d: str) -> DataFrame:
+    return stats.logq(_item_stats(spark, d)).withColumn("logq", F.round("logq", 6))
+
+
+@query("SELECT p_brand AS category, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, category LIMIT 8")
+def top_categories(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(8)
+
+
+# -- baselines and metrics --------------------------------------------------------------------------------------------
+
+_POP_SQL = f"""{STATS_SQL},
+seen AS (SELECT user_id, count(*) AS m FROM history GROUP BY user_id),
+head AS (SELECT * FROM ist WHERE pop_rank <= {K} + (SELECT max(m) FROM seen)),
+pop AS (SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT ev.user_id, head.item_id, row_number() OVER (PARTITION BY ev.user_id ORDER BY pop_rank) AS rank
+  FROM ev JOIN head ON true WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = ev.user_id AND h.item_id = head.item_id)) WHERE rank <= {K})"""
+_DRAWS = 8 * K
+_RANDOM_SQL = f"""{STATS_SQL},
+dr AS (SELECT user_id, t, user_id * {_DRAWS} + t AS ix FROM ev JOIN (SELECT unnest(range({_DRAWS})) AS t) ON true),
+{uniform_sql("dr", "ix", 0, SEED, "x", "h")},
+fresh AS (SELECT user_id, item_id, min(t) AS t FROM (SELECT user_id, t, CAST(floor(x * (SELECT count(*) FROM part)) AS BIGINT) + 1 AS item_id FROM h4) q
+  WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = q.user_id AND h.item_id = q.item_id) GROUP BY user_id, item_id),
+rnd AS (SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS rank FROM fresh) WHERE rank <= {K})"""
+
+
+def _per_user_sql(recs: str) -> str:
+    return f"""hit AS (SELECT r.user_id, count(DISTINCT r.item_id) AS n_hit, sum(1.0e0 / log2(r.rank + 1)) AS dcg
+  FROM {recs} r JOIN gt ON gt.user_id = r.user_id AND gt.item_id = r.item_id GROUP BY r.user_id),
+ideal AS (SELECT n, sum(1.0e0 / log2(n + 1)) OVER (ORDER BY n) AS idcg FROM (SELECT unnest(range(1, {K + 1})) AS n)),
+pu AS (SELECT g.user_id, g.n_gt, coalesce(hit.n_hit, 0) AS n_hit, coalesce(hit.dcg, 0.0) AS dcg, coalesce(hit.dcg, 0.0) / idcg AS ndcg,
+    CAST(coalesce(hit.n_hit, 0) AS DOUBLE) / g.n_gt AS recall
+  FROM (SELECT user_id, count(*) AS n_gt FROM gt GROUP BY user_id) g JOIN ideal ON ideal.n = least(g.n_gt, {K}) LEFT JOIN hit ON hit.user_id = g.user_id)"""
+
+
+def _metrics_sql(method: str, recs: str) -> str:
+    return f"""SELECT '{method}' AS method, {K} AS k, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(CASE WHEN n_hit > 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate,
+  round(CAST((SELECT count(DISTINCT item_id) FROM {recs}) AS DOUBLE) / (SELECT count(*) FROM part), 6) AS coverage,
+  round((SELECT avg(s) FROM (SELECT avg(-log2(prob)) AS s FROM {recs} r JOIN ist ON ist.item_id = r.item_id GROUP BY r.user_id)), 6) AS novelty, count(*) AS n_users FROM pu"""
+
+
+def _stored(split: Split) -> Split:
+    return Split(split.threshold, split.train, split.test, cut(split.history), cut(split.ground_truth))
+
+
+def _popularity(spark: SparkSession, d: str) -> tuple[Split, DataFrame, DataFrame]:
+    s = _stored(_split(spark, d))
+    st = cut(stats.item_stats(s.train, items(spark, d)))
+    return s, st, baselines.popularity_recs(s, stats.popularity_ranking(st), K)
+
+
+def _random(spark: SparkSession, d: str) -> tuple[Split, DataFrame, DataFrame]:
+    s = _stored(_split(spark, d))
+    st = cut(stats.item_stats(s.train, items(spark, d)))
+    return s, st, baselines.random_recs(s, items(spark, d).count(), K, SEED, first_item=1)
+
+
+def _metrics(spark: SparkSession, d: str, method: str, got: tuple[Split, DataFrame, DataFrame]) -> DataFrame:
+    s, st, recs = got
+    return metrics.rounded(metrics.evaluate(recs, s, st, method=method, k=K, n_items=items(spark, d).count()), 6)
+
+
+@query(f"WITH {_POP_SQL} SELECT user_id, rank, item_id FROM pop")
+def popularity_recs(spark: SparkSession, d: str) -> DataFrame:
+    return _popularity(spark, d)[2]
+
+
+@query(f"WITH {_POP_SQL}, {_per_user_sql('pop')} {_metrics_sql('popularity', 'pop')}")
+def popularity_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d, "popularity", _popularity(spark, d))
+
+
+@query(f"WITH {_RANDOM_SQL} SELECT user_id, rank, item_id FROM rnd")
+def random_recs(spark: SparkSession, d: str) -> DataFrame:
+    return _random(spark, d)[2]
+
+
+@query(f"WITH {_RANDOM_SQL}, {_per_user_sql('rnd')} {_metrics_sql('random', 'rnd')}")
+def random_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d, "random", _random(spark, d))
+
+
+@query(f"SELECT n, round(sum(1.0e0 / log2(n + 1)) OVER (ORDER BY n), 9) AS idcg FROM (SELECT unnest(range(1, {K + 1})) AS n)")
+def idcg_table(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.idcg_table(spark, K).withColumn("idcg", F.round("idcg", 9))
+
+
+@query(f"WITH {_POP_SQL}, {_per_user_sql('pop')} SELECT user_id, n_gt, n_hit, round(dcg, 9) AS dcg, round(ndcg, 9) AS ndcg, round(recall, 9) AS recall FROM pu")
+def dcg_per_user(spark: SparkSession, d: str) -> DataFrame:
+    s, _, recs = _popularity(spark, d)
+    return metrics.per_user(recs, s.ground_truth, K).withColumns({c: F.round(c, 9) for c in ("dcg", "ndcg", "recall")})
+
+
+@query(
+    f"""WITH {_POP_SQL} SELECT round(CAST(count(DISTINCT item_id) AS DOUBLE) / (SELECT count(*) FROM part), 6) AS coverage,
+round((SELECT avg(s) FROM (SELECT avg(-log2(prob)) AS s FROM pop r JOIN ist ON ist.item_id = r.item_id GROUP BY r.user_id)), 6) AS novelty FROM pop"""
+)
+def coverage_novelty(spark: SparkSession, d: str) -> DataFrame:
+    s, st, recs = _popularity(spark, d)
+    out = metrics.coverage_novelty(recs, s.ground_truth, st, K, items(spark, d).count())
+    return out.select(F.round("coverage", 6).alias("coverage"), F.round("novelty", 6).alias("novelty"))
+
+
+_BOTH_SQL = f"""WITH {_RANDOM_SQL}, {_per_user_sql("rnd")}, ma AS ({_metrics_sql("random", "rnd")}),
+{_POP_SQL.replace(STATS_SQL + ",", "")}, {_per_user_sql("pop").replace("hit AS", "hit2 AS").replace("ideal AS", "ideal2 AS").replace("pu AS", "pu2 AS").replace("hit.", "hit2.").replace("JOIN ideal ON ideal.n", "JOIN ideal2 ON ideal2.n").replace("LEFT JOIN hit ON", "LEFT JOIN hit2 ON")},
+mb AS ({_metrics_sql("popularity", "pop").replace("FROM pu", "FROM pu2")}),
+m AS (SELECT * FROM ma UNION ALL SELECT * FROM mb),
+long AS (SELECT method, 'recall' AS metric, recall AS value FROM m UNION ALL SELECT method, 'ndcg', ndcg FROM m UNION ALL SELECT method, 'hit_rate', hit_rate FROM m
+  UNION ALL SELECT method, 'coverage', coverage FROM m UNION ALL SELECT method, 'novelty', novelty FROM m)"""
+
+
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    s, st, pop = _popularity(spark, d)
+    n = items(spark, d).count()
+    rnd = baselines.random_recs(s, n, K, SEED, first_item=1)
+    a, b = (metrics.rounded(metrics.evaluate(r, s, st, method=m, k=K, n_items=n), 6) for m, r in (("random", rnd), ("popularity", pop)))
+    return a.unionByName(b)
+
+
+@query(
+    f"{_BOTH_SQL} SELECT a.method, a.metric, a.value, round(100 * (a.value / greatest(b.value, 1e-9) - 1), 4) AS lift_pct FROM long a JOIN long b ON a.metric = b.metric AND b.method = 'popularity'"
+)
+def metrics_union_lift(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.lift(cut(_both(spark, d)), "popularity").withColumn("lift_pct", F.round("lift_pct", 4))
+
+
+@query(f"{_BOTH_SQL} SELECT method, metric, value FROM long")
+def metrics_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    return _both(spark, d).unpivot(["method"], ["recall", "ndcg", "hit_rate", "coverage", "novelty"], "metric", "value")
+
+
+# -- vectors and search -----------------------------------------------------------------------------------------------
+
+_E = "e AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS vec, label AS cell FROM embeddings)"
+_CENT_SQL = f"""{_E},
+x AS (SELECT cell, unnest(vec) AS x, unnest(range(len(vec))) AS d FROM e),
+c AS (SELECT cell, list(m ORDER BY d) AS vec FROM (SELECT cell, d, avg(x) AS m FROM x GROUP BY cell, d) GROUP BY cell)"""
+_PROBE_SQL = f"""{_CENT_SQL},
+q AS (SELECT item_id AS query_id, vec FROM e WHERE item_id % 20 = 0),
+pr AS (SELECT query_id, vec, cell, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell) AS INTEGER) AS rank
+  FROM (SELECT query_id, q.vec, c.cell, round(list_dot_product(q.vec, c.vec), 6) AS score FROM q JOIN c ON true))"""
+_EX_SQL = """ex AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, e.item_id, round(list_dot_product(q.vec, e.vec), 6) AS score FROM q JOIN e ON true)) WHERE rank <= 10)"""
+_EXACT_SQL = f"{_E}, q AS (SELECT item_id AS query_id, vec FROM e WHERE item_id % 20 = 0), {_EX_SQL}"
+_IVF_SQL = f"""{_PROBE_SQL},
+iv AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, e.item_id, round(list_dot_product(pr.vec, e.vec), 6) AS score FROM pr JOIN e ON e.cell = pr.cell WHERE pr.rank <= 3)) WHERE rank <= 10)"""
+
+
+@query(f"WITH {_EXACT_SQL} SELECT query_id, item_id, score, rank FROM ex")
+def exact_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.exact_topk(searchers(spark, d), vectors(spark, d), 10)
+
+
+@query(
+    f"""WITH {_E}, q AS (SELECT item_id AS query_id, vec FROM e WHERE item_id % 20 = 0)
+SELECT query_id, item_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, e.item_id, round(list_dot_product(q.vec, e.vec) + {TAU} * ln(1 + e.item_id % 7), 6) AS score FROM q JOIN e ON true)) WHERE rank <= 10"""
+)
+def mips_topk_bias(spark: SparkSession, d: str) -> DataFrame:
+    """Affine scores as inner products: items carry the bias as a coordinate, queries a one."""
+    v = vectors(spark, d).select("item_id", V.with_bias(F.col("vec"), F.log1p(F.col("item_id") % 7), TAU).alias("vec"))
+    return search.exact_topk(searchers(spark, d).withColumn("vec", V.with_one(F.col("vec"))), v, 10)
+
+
+@query(f"WITH {_CENT_SQL} SELECT cell, d, round(v, 6) AS v FROM (SELECT cell, unnest(vec) AS v, unnest(range(len(vec))) AS d FROM c)")
+def ivf_centroids(spark: SparkSession, d: str) -> DataFrame:
+    c = search.mean_centroids(vectors(spark, d))
+    return c.select("cell", F.posexplode("vec").alias("d", "v")).select("cell", F.col("d").cast("bigint").alias("d"), F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {_PROBE_SQL} SELECT query_id, CAST(cell AS BIGINT) AS cell, score, rank FROM pr WHERE rank <= 3")
+def ivf_probe(spark: SparkSession, d: str) -> DataFrame:
+    return search.probe_cells(searchers(spark, d), search.mean_centroids(vectors(spark, d)), 3)
+
+
+def _ivf(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d).select(F.col("cell").cast("bigint").alias("cell"), "item_id", "vec")
+    return search.ivf_search(searchers(spark, d), v, search.mean_centroids(v), n_probe=3, k=10)
+
+
+@query(f"WITH {_IVF_SQL} SELECT query_id, item_id, score, rank FROM iv")
+def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _ivf(spark, d)
+
+
+@query(
+    f"""WITH {_IVF_SQL}, {_EX_SQL}
+SELECT count(*) AS n_hit, round(count(*) / CAST((SELECT count(*) FROM q) * 10 AS DOUBLE), 6) AS recall FROM iv JOIN ex ON iv.query_id = ex.query_id AND iv.item_id = ex.item_id"""
+)
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    q = searchers(spark, d)
+    return search.recall(_ivf(spark, d), search.exact_topk(q, vectors(spark, d), 10), q.count(), 10).withColumn("recall", F.round("recall", 6))
+
+
+@query(
+    f"""WITH {_CENT_SQL},
+near AS (SELECT item_id, vec, cell FROM (SELECT e.item_id, e.vec, c.cell, row_number() OVER (PARTITION BY e.item_id
+  ORDER BY round(list_dot_product(e.vec, c.vec) - list_dot_product(c.vec, c.vec) / 2, 9) DESC, c.cell) AS r FROM e JOIN c ON true) WHERE r = 1)
+SELECT CAST(cell AS BIGINT) AS cell, d, n, round(m, 6) AS v FROM (SELECT cell, d, count(*) AS n, avg(x) AS m
+  FROM (SELECT cell, unnest(vec) AS x, unnest(range(len(vec))) AS d FROM near) GROUP BY cell, d)"""
+)
+def kmeans_lloyd_step(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d)
+    out = search.lloyd_step(v.select("item_id", "vec"), search.mean_centroids(v))
+    return out.select("cell", "n", F.posexplode("vec").alias("d", "v")).select("cell", F.col("d").cast("bigint").alias("d"), "n", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {_E} SELECT item_id, round(list_dot_product(vec, vec), 6) AS sq, round(vec[1] / greatest(sqrt(list_dot_product(vec, vec)), 1e-8), 6) AS first FROM e")
+def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d)
+    return v.select("item_id", F.round(V.dot(F.col("vec"), F.col("vec")), 6).alias("sq"), F.round(V.normalise(F.col("vec"))[0], 6).alias("first"))
+
+
+def _towers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-in embeddings for every customer and part, from the frozen vectors; the item bias is ln(1 + id % 7)."""
+    v = vectors(spark, d).select(F.col("item_id").alias("__k"), "vec").where(F.col("__k") < TOWER)
+    u = users(spark, d).withColumn("__k", F.col("user_id") % TOWER).join(v, "__k").select("user_id", "vec")
+    i = items(spark, d).withColumn("__k", F.col("item_id") % TOWER).join(v, "__k").select("item_id", "vec", F.log1p(F.col("item_id") % 7).alias("bias"))
+    return u, i
+
+
+@query(
+    f"""WITH {LOG_SQL}, {_E}
+SELECT event_id, round(list_dot_product(u.vec, v.vec) + {TAU} * ln(1 + log.item_id % 7), 6) AS score
+FROM log JOIN e u ON u.item_id = log.user_id % {TOWER} JOIN e v ON v.item_id = log.item_id % {TOWER}"""
+)
+def pair_score(spark: SparkSession, d: str) -> DataFrame:
+    u, i = _towers(spark, d)
+    j = log(spark, d).join(u, "user_id").join(i.withColumnRenamed("vec", "__v"), "item_id")
+    return j.select("event_id", F.round(V.dot(F.col("vec"), F.col("__v")) + TAU * F.col("bias"), 6).alias("score"))
+
+
+# -- training ---------------------------------------------------------------------------------------------------------
+
+#: Every event belongs to the mini-batch of its order key.
+_BATCH_ORDERS = 16
+_BATCH_SQL = f"""{STATS_SQL}, {_E},
+b AS (SELECT event_id // 800000000000 // {_BATCH_ORDERS} AS batch, event_id AS pos, log.item_id, u.vec AS u, v.vec AS v, ln(1 + log.item_id % 7) AS bias, ln(prob) AS logq
+  FROM log JOIN e u ON u.item_id = log.user_id % {TOWER} JOIN e v ON v.item_id = log.item_id % {TOWER} JOIN ist ON ist.item_id = log.item_id),
+z AS (SELECT r.batch, r.pos, c.pos AS col, CASE WHEN r.item_id = c.item_id AND r.pos <> c.pos THEN -1e9
+    ELSE list_dot_product(r.u, c.v) / {TAU} + c.bias - c.logq END AS z FROM b r JOIN b c ON r.batch = c.batch),
+mx AS (SELECT *, max(z) OVER (PARTITION BY batch, pos) AS m FROM z),
+p AS (SELECT batch, pos, col, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY batch, pos) AS p,
+    row_number() OVER (PARTITION BY batch, pos ORDER BY z DESC, col) AS r, count(*) OVER (PARTITION BY batch, pos) AS n FROM mx)"""
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    u, i = _towers(spark, d)
+    q = stats.logq(_item_stats(spark, d))
+    j = log(spark, d).join(u.withColumnRenamed("vec", "u"), "user_id").join(i.withColumnRenamed("vec", "v").join(q, "item_id"), "item_id")
+    batch = F.expr(f"event_id div 800000000000 div {_BATCH_ORDERS}")
+    return j.select(batch.alias("batch"), F.col("event_id").alias("pos"), "item_id", "u", "v", "bias", "logq")
+
+
+@query(
+    f"""WITH {_BATCH_SQL} SELECT batch, count(*) AS n, round(avg(-ln(least(greatest(p, 1e-12), 1.0e0))), 6) AS loss, round(avg(CASE WHEN r = 1 THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy
+FROM p WHERE pos = col GROUP BY batch"""
+)
+def inbatch_softmax_loss(spark: SparkSession, d: str) -> DataFrame:
+    return batch_losses(_batches(spark, d), TAU).withColumns({c: F.round(c, 6) for c in ("loss", "accuracy")})
+
+
+@query(f"WITH {_BATCH_SQL} SELECT batch, col AS pos, round(sum((p - CASE WHEN pos = col THEN 1 ELSE 0 END) / n), 6) AS db FROM p GROUP BY batch, col")
+def inbatch_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return batch_bias_gradients(_batches(spark, d), TAU).withColumn("db", F.round("db", 6) + 0.0)
+
+
+# -- candidates, features, samples ------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SPLIT_SQL}, {_E},
+s AS (SELECT ev.user_id, v.item_id, round(list_dot_product(u.vec, v.vec), 6) AS score FROM ev JOIN e u ON u.item_id = ev.user_id % {TOWER} JOIN e v ON v.item_id > 0)
+SELECT user_id, item_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s
+  WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = s.user_id AND h.item_id = s.item_id)) WHERE rank <= 10"""
+)
+def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
+    s = _stored(_split(spark, d))
+    u, _ = _towers(spark, d)
+    v = vectors(spark, d).where("item_id > 0").select("item_id", "vec")
+    q = u.join(s.eval_users, "user_id", "left_semi").select(F.col("user_id").alias("query_id"), "vec")
+    seen = s.history.join(v.select("item_id"), "item_id", "left_semi").groupBy("user_id").count().agg(F.max("count")).head()[0] or 0
+    return search.candidate_pool(search.exact_topk(q, v, 10 + seen), s.history, 10)
+
+
+@query(
+    f"""WITH {STATS_SQL}, {_E},
+f AS (SELECT event_id, log.category, dom_cat, list_dot_product(u.vec, v.vec) + {TAU} * ln(1 + log.item_id % 7) AS dot, sqrt(list_dot_product(u.vec, u.vec)) AS un, sqrt(list_dot_product(v.vec, v.vec)) AS vn,
+    ist.n AS i_n, ist.mean_ts AS i_ts, ust.n AS u_n, ust.mean_ts AS u_ts
+  FROM log JOIN e u ON u.item_id = log.user_id % {TOWER} JOIN e v ON v.item_id = log.item_id % {TOWER} JOIN ist ON ist.item_id = log.item_id JOIN ust ON ust.user_id = log.user_id)
+SELECT event_id, round(dot, 6) AS dot, round(dot / greatest(un * vn, 1e-8), 6) AS cosine, round(ln(1 + i_n), 6) AS item_logpop, round(i_ts, 3) AS item_mean_ts, round(ln(1 + u_n), 6) AS user_logact,
+  round(u_ts, 3) AS user_mean_ts, CASE WHEN category = dom_cat THEN 1.0e0 ELSE 0.0e0 END AS cat_match, round(vn, 6) AS item_norm FROM f"""
+)
+def ranker_features(spark: SparkSession, d: str) -> DataFrame:
+    s = _split(spark, d)
+    u, i = _towers(spark, d)
+    pairs = log(spark, d).select("event_id", "user_id", "item_id")
+    out = pair_features(pairs, u, i, items(spark, d), stats.user_stats(s.train, items(spark, d), users(spark, d)), stats.item_stats(s.train, items(spark, d)), TAU)
+    six = {c: F.round(c, 6) for c in ("dot", "cosine", "item_logpop", "user_logact", "item_norm")}
+    return out.drop("user_id", "item_id").withColumns(six | {c: F.round(c, 3) for c in ("item_mean_ts", "user_mean_ts")})
+
+
+@query(f"WITH {LOG_SQL}, {uniform_sql('log', 'event_id', 0, SEED, 'x', 'h')} SELECT event_id, user_id, item_id FROM h4 ORDER BY x, event_id LIMIT 1000")
+def positive_sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A sampling operator: its size is the feature."""
+    return positive_sample(log(spark, d).select("event_id", "user_id", "item_id"), "event_id", 1000, SEED)
+
+
+@query(
+    f"""WITH {LOG_SQL}, lg AS (SELECT event_id, user_id, j, event_id * 4 + j AS ix FROM log JOIN (SELECT unnest([0, 1, 2, 3]) AS j) ON true), {uniform_sql('lg', 'ix', 1, SEED, 'x', 'h')}
+SELECT event_id, user_id, CAST(floor(x * (SELECT count(*) FROM part)) AS BIGINT) + 1 AS item_id, j FROM h4"""
+)
+def negative_sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    return negative_samples(log(spark, d), "event_id", items(spark, d).count(), 4, SEED, first_item=1)
+
+
+# -- generator --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LOG_SQL}, {uniform_sql('log', 'event_id', 2, SEED, 'x', 'h')} SELECT event_id, x FROM h4")
+def hash_uniforms(spark: SparkSession, d: str) -> DataFrame:
+    return with_uniforms(log(spark, d).select("event_id"), F.col("event_id"), {"x": 2}, SEED)
+
+
+@query("SELECT i AS rank, round(pow(i, -1.03) / sum(pow(i, -1.03)) OVER (), 12) AS weight FROM (SELECT unnest(range(1, 5001)) AS i)")
+def zipf_weights_rows(spark: SparkSession, d: str) -> DataFrame:
+    return zipf_weights(spark, 5000, 1.03).withColumn("weight", F.round("weight", 12))
+
+
+def _brands(spark: SparkSession, d: str) -> DataFrame:
+    n = items(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    total = items(spark, d).count()
+    return n.select("category", (F.col("n") / F.lit(float(total))).alias("base"), ((F.col("n") % 10) / 10.0).alias("phase"))
+
+
+_BRANDS_SQL = "br AS (SELECT p_brand AS category, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM part) AS base, (count(*) % 10) / 10.0e0 AS phase FROM part GROUP BY p_brand)"
+_TREND_SQL = f"""{_BRANDS_SQL},
+tw AS (SELECT CAST(epoch AS INTEGER) AS epoch, category, base * (1 + 0.55e0 * sin(2 * pi() * ((epoch + 0.5e0) / 128 + phase))) AS w FROM br JOIN (SELECT unnest(range(128)) AS epoch) ON true),
+ts AS (SELECT epoch, category, w / sum(w) OVER (PARTITION BY epoch) AS weight FROM tw),
+tr AS (SELECT epoch, category, weight, sum(weight) OVER (PARTITION BY epoch ORDER BY category) AS hi FROM ts)"""
+
+
+@query(f"WITH {_BRANDS_SQL} SELECT category, round(base, 9) AS base, round(sum(base) OVER (ORDER BY category), 9) AS hi FROM br")
+def cumulative_cdf(spark: SparkSession, d: str) -> DataFrame:
+    return cumulative(_brands(spark, d), "category", "base").select("category", F.round("base", 9).alias("base"), F.round("hi", 9).alias("hi"))
+
+
+@query(f"WITH {_TREND_SQL} SELECT epoch, category, round(weight, 9) AS weight, round(hi, 9) AS hi FROM tr")
+def trend_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = trend_table(_brands(spark, d), 0.55)
+    return t.select("epoch", "category", F.round("weight", 9).alias("weight"), F.round("hi", 9).alias("hi"))
+
+
+@query(
+    f"""WITH {LOG_SQL}, {_TREND_SQL}, {uniform_sql('log', 'event_id', 2, SEED, 'x', 'h')},
+k AS (SELECT epoch, list(round(hi, 9) ORDER BY category) AS his, list(category ORDER BY category) AS cats FROM tr GROUP BY epoch)
+SELECT event_id, cats[least(len(list_filter(his, lambda y: y < x)) + 1, len(cats))] AS drawn FROM h4 JOIN k ON k.epoch = event_id % 128"""
+)
+def category_draw(spark: SparkSession, d: str) -> DataFrame:
+    """Each event draws a category from the trend of its epoch: entries strictly below the draw are counted."""
+    t = trend_table(_brands(spark, d), 0.55).groupBy("epoch").agg(F.array_sort(F.collect_list(F.struct("category", F.round("hi", 9).alias("hi")))).alias("row"))
+    ev = with_uniforms(log(spark, d).select("event_id"), F.col("event_id"), {"x": 2}, SEED).withColumn("epoch", (F.col("event_id") % 128).cast("int"))
+    j = ev.join(F.broadcast(t), "epoch")  # 128 rows of a few categories
+    below = F.size(F.filter("row", lambda r: r["hi"] < F.col("x")))
+    return j.select("event_id", F.element_at("row", F.least(below + 1, F.size("row")))["category"].alias("drawn"))
+
+
+_USER_HASH = f"WITH {LOG_SQL} SELECT DISTINCT user_id, (user_id * 2654435761) % 25 AS primary_cat FROM log"
+
+
+@query(_USER_HASH)
+def user_primary_category(spark: SparkSession, d: str) -> DataFrame:
+    return log(spark, d).select("user_id").distinct().withColumn("primary_cat", F.pmod(F.col("user_id") * F.lit(2654435761), F.lit(25).cast("bigint")))
+
+
+@query()
+def generated_log(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "lineitem").count()
+    return generate(spark, n, GeneratorConfig(n_users=2500, n_items=600, n_categories=10))
+
+
+# -- streaming --------------------------------------------------------------------------------------------------------
+
+_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS key, count(*) AS n FROM lineitem GROUP BY l_partkey")
+def item_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return counts(log(spark, d), "item_id").select("key", "n")
+
+
+@query("SELECT p_brand AS key, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+def category_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return counts(log(spark, d), "category").select("key", "n")
+
+
+@query(
+    """WITH h AS (SELECT CAST(l_partkey AS VARCHAR) AS key, count(*) AS n FROM lineitem GROUP BY l_partkey),
+r AS (SELECT n, row_number() OVER (ORDER BY n DESC, key) AS r FROM h)
+SELECT CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_touched, round(sum(n) FILTER (WHERE r <= greatest(1, (SELECT count(*) FROM part) // 100)) / CAST(sum(n) AS DOUBLE), 9) AS head_share FROM r"""
+)
+def head_share_row(spark: SparkSession, d: str) -> DataFrame:
+    return head_share(counts(log(spark, d), "item_id"), items(spark, d).count()).withColumn("head_share", F.round("head_share", 9))
+
+
+@query("SELECT 'user_id' AS field, CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY user_id UNION ALL SELECT 'event_type', event_type, count(*) FROM events GROUP BY event_type")
+def stream_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return run_to_end(read_events(spark, f"{d}/events.parquet", _EVENTS), "user_id", "event_type")
+
+
+@query('SELECT date_trunc(\'day\', ts) AS "start", event_type, count(*) AS n FROM events GROUP BY 1, 2')
+def daily_popularity(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed plan over the whole table at once; the same frame runs as a stream with a watermark."""
+    return windowed_popularity(table(spark, d, "events"), time="ts", key="event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# -- models (rows only) -----------------------------------------------------------------------------------------------
+
+
+def _generated(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    cfg = GeneratorConfig(n_users=1000, n_items=300, n_categories=8)
+    return cut(generate(spark, 40_000, cfg)), Catalogue(cfg).items(spark)
+
+
+_SMALL = TrainConfig(dim=32, lr=0.3, batch=256, epochs=3, log_every=50)
+
+
+@query()
+def train_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings of every part from the whole log."""
+    return train(log(spark, d), items(spark, d), _SMALL).items
+
+
+@query()
+def training_history(spark: SparkSession, d: str) -> DataFrame:
+    return train(log(spark, d), items(spark, d), _SMALL).history
+
+
+@query()
+def kmeans_ivf(spark: SparkSession, d: str) -> DataFrame:
+    cells = cut(search.kmeans_cells(vectors(spark, d).drop("cell"), 24, SEED))
+    return search.ivf_search(searchers(spark, d), cells, search.mean_centroids(cells), n_probe=14, k=10)
+
+
+def _ranker(spark: SparkSession, d: str, trees: int) -> tuple[Ranker, DataFrame]:
+    s = _stored(_split(spark, d))
+    u, i = (cut(x) for x in _towers(spark, d))
+    us, st = cut(stats.user_stats(s.train, items(spark, d))), cut(stats.item_stats(s.train, items(spark, d)))
+    pairs = training_pairs(s.train, "event_id", items(spark, d).count(), max_positives=20_000, per_positive=4, seed=SEED, first_item=1)
+    labelled = cut(pair_features(pairs, u, i, items(spark, d), us, st, TAU))
+    return Ranker.fit(labelled, trees=trees, depth=4), labelled
+
+
+@query()
+def gbt_rerank(spark: SparkSession, d: str) -> DataFrame:
+    ranker, labelled = _ranker(spark, d, 10)
+    return ranker.rerank(labelled.withColumn("rank", F.lit(1)), K)
+
+
+@query()
+def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
+    ranker, labelled = _ranker(spark, d, 5)
+    return ranker.importance(labelled, repeats=1)
+
+
+@query()
+def pca_items(spark: SparkSession, d: str) -> DataFrame:
+    """Chart data: the items of the eight largest labels in two principal components."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = vectors(spark, d)
+    top = v.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(8).select("cell")
+    kept = v.join(top, "cell", "left_semi").withColumn("f", array_to_vector(F.col("vec").cast("array<double>")))
+    out = PCA(k=2, inputCol="f", outputCol="p").fit(kept).transform(kept)
+    return out.select("item_id", "cell", vector_to_array("p")[0].alias("x"), vector_to_array("p")[1].alias("y"))
+
+
+@query()
+def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    lg, it = _generated(spark)
+    return run(lg, it, PipelineConfig(k=10, pool=40, cells=16, probes=8, trees=8, max_positives=5000, train=_SMALL)).metrics
+
+
