@@ -75,7 +75,7 @@ def _lines(text: str) -> Iterator[str]:
 
 def features(text: str | None) -> list[float]:
     """The values of ``FEATURES`` for one whole text; shares are of its non-blank characters. Null and empty give zeros."""
-    total = links = code = serves = prose = tagged = n_links = 0
+    total = links = code = serves = prose = tagged = 0
     phrases: list[tuple[list[str], int, bool]] = []
     sentences: list[tuple[set[str], int, int]] = []
     hosts: list[str] = []
@@ -118,7 +118,6 @@ def features(text: str | None) -> list[float]:
         stops = sum(w in _STOP for w in words)
         if found and len(words) <= 7 * len(found) and stops <= max(1, 0.15 * len(words)):
             links += size
-            n_links += len(found)
             hosts += [h.lower() for h in found]
             phrases.append((words, size, True))
         elif coded:
@@ -156,10 +155,11 @@ def features(text: str | None) -> list[float]:
         hit = [(k, size) for s, k, size in sentences if s & keep]
         if hit and sum(k for k, _ in hit) <= 9 * len(hit) and len(hit) >= 0.75 * len(sentences):
             refrain = sum(size for _, size in hit)
-    foreign = len(set(hosts))
-    variety = foreign / max(1, n_links)
+    named_hosts = Counter(hosts)
+    foreign = len(named_hosts)
+    variety = 1 - named_hosts.most_common(1)[0][1] / len(hosts) if hosts else 0.0  # without the most linked host
     share = lambda x: x / total
-    bait = (repeated if permuted >= 1.3 and n >= 12 else 0) + tagged + (links if foreign >= 5 and variety >= 0.5 else 0) + refrain
+    bait = (repeated if permuted >= 1.3 and n >= 12 else 0) + tagged + (links if foreign >= 5 and variety >= 0.6 else 0) + refrain
     return [
         float(total), float(n), len(count) / max(1, n), permuted, sum(k for _, k in count.most_common(12)) / max(1, n), share(repeated + tagged), share(links),
         float(foreign), variety, share(refrain), share(code), share(serves), share(prose), share(bait),
