@@ -32,8 +32,9 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     li = table(spark, d, "lineitem")
     sec = F.unix_micros(F.col("l_shipdate").cast("timestamp")).cast("double") / 1e6
-    # The keys together identify a row; lines of an order share numbers.
-    number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")
+    # Keys and quantity together identify a row; lines of an order share numbers.
+    number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 262_144 + F.col("l_partkey")) * 16_384 + F.col("l_suppkey")
+    number = number * 64 + F.col("l_quantity").cast("bigint")
     li = li.select("l_orderkey", number.alias("event_id"), F.col("l_partkey").alias("item_id"), sec.alias("ts"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("category"))
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, "item_id").select("event_id", "user_id", "item_id", "ts", "category")
@@ -60,7 +61,7 @@ def searchers(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vec")
 
 
-LOG_SQL = """log AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS event_id, o_custkey AS user_id, l_partkey AS item_id,
+LOG_SQL = """log AS (SELECT (((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS event_id, o_custkey AS user_id, l_partkey AS item_id,
     CAST(epoch_us(l_shipdate) AS DOUBLE) / 1e6 AS ts, p_brand AS category
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 SPLIT_SQL = f"""{LOG_SQL},
@@ -408,8 +409,9 @@ def pair_score(spark: SparkSession, d: str) -> DataFrame:
 
 #: Every event belongs to the mini-batch of its order key.
 _BATCH_ORDERS = 16
+_PER_ORDER = 8 * 262_144 * 16_384 * 64
 _BATCH_SQL = f"""{STATS_SQL}, {_E},
-b AS (SELECT event_id // 800000000000 // {_BATCH_ORDERS} AS batch, event_id AS pos, log.item_id, u.vec AS u, v.vec AS v, ln(1 + log.item_id % 7) AS bias, ln(prob) AS logq
+b AS (SELECT event_id // {_PER_ORDER} // {_BATCH_ORDERS} AS batch, event_id AS pos, log.item_id, u.vec AS u, v.vec AS v, ln(1 + log.item_id % 7) AS bias, ln(prob) AS logq
   FROM log JOIN e u ON u.item_id = log.user_id % {TOWER} JOIN e v ON v.item_id = log.item_id % {TOWER} JOIN ist ON ist.item_id = log.item_id),
 z AS (SELECT r.batch, r.pos, c.pos AS col, CASE WHEN r.item_id = c.item_id AND r.pos <> c.pos THEN -1e9
     ELSE list_dot_product(r.u, c.v) / {TAU} + c.bias - c.logq END AS z FROM b r JOIN b c ON r.batch = c.batch),
@@ -422,7 +424,7 @@ def _batches(spark: SparkSession, d: str) -> DataFrame:
     u, i = _towers(spark, d)
     q = stats.logq(_item_stats(spark, d))
     j = log(spark, d).join(u.withColumnRenamed("vec", "u"), "user_id").join(i.withColumnRenamed("vec", "v").join(q, "item_id"), "item_id")
-    batch = F.expr(f"event_id div 800000000000 div {_BATCH_ORDERS}")
+    batch = F.expr(f"event_id div {_PER_ORDER} div {_BATCH_ORDERS}")
     return j.select(batch.alias("batch"), F.col("event_id").alias("pos"), "item_id", "u", "v", "bias", "logq")
 
 
