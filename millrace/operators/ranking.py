@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import written
 
-#: Distinct values fetched at the end of a search, and buckets of a round.
+#: Distinct values up to which they are counted outright, and buckets of a round.
 FETCH, BUCKETS = 10_000, 4096
 
 
@@ -37,10 +39,16 @@ def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
     wanted rank, so no task ever sees more than its share; a few rounds settle doubles of any spread.
     """
     values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    n, lo, hi = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).head()
+    n, lo, hi, kinds = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v"), F.approx_count_distinct("v")).head()
     if not n:
         return None
     at = (n - 1) * q
+    if kinds <= FETCH:  # few distinct values (days, say): their counts settle it in one more pass
+        rows = sorted(map(tuple, values.groupBy("v").agg(F.count(F.lit(1))).limit(4 * FETCH).collect()))
+        if sum(c for _, c in rows) == n:
+            ends = list(accumulate(c for _, c in rows))
+            a, b = (rows[bisect_right(ends, k)][0] for k in (math.floor(at), math.ceil(at)))
+            return a + (b - a) * (at - math.floor(at))
     k = math.floor(at)
     a = _nth(values, k, lo, hi, 0)
     if at == k:

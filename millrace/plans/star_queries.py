@@ -19,7 +19,7 @@ from millrace.operators.split import Split, leak_check, temporal_split
 from millrace.operators.trainer import TrainConfig, batch_bias_gradients, batch_losses, train
 from millrace.plans.pipeline import PipelineConfig, run
 from millrace.schema import table
-from millrace.session import cut
+from millrace.session import cut, written
 from millrace.sources.generator import Catalogue, GeneratorConfig, generate
 from millrace.streaming.histogram import counts, head_share, read_events, run_to_end, windowed_popularity
 
@@ -49,7 +49,8 @@ def users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, d: str) -> Split:
-    return temporal_split(log(spark, d))
+    # The joined log has many readers below, each with the split's filter: stored once, they scan the columns they need.
+    return temporal_split(written(log(spark, d), "log"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -56,11 +59,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of the tables that this process has written.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: columnar, so later reads prune columns
-    and skip pages, and independent of any executor. The folder belongs to the application's owner, who clears
-    ``spark.checkpoint.dir`` after it; in local mode the table goes when the interpreter ends."""
+    and skip pages, and independent of any executor. Results that read it stay lazy, so it is kept until ``drop_written``
+    or, in local mode, the end of the process."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables written so far; call it once their readers' results are stored. Gives their number."""
+    n = len(_TABLES)
+    while _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

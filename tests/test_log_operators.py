@@ -129,3 +129,13 @@ def test_counted_events_keep_the_earliest_delivery(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id long, item_id long, a string, category int, b string").selectExpr("event_id", "user_id", "item_id", "CAST(a AS TIMESTAMP_NTZ) AS ts", "category", "CAST(b AS TIMESTAMP_NTZ) AS received_at")
     got = sorted((r["event_id"], r["user_id"], r["item_id"], r["category"]) for r in counted_events(df, category=True).collect())
     assert got == [(1, 5, 6, 3), (5, 5, 7, None)]
+
+
+def test_written_tables_are_dropped(spark):
+    from millrace.session import drop_written, written
+
+    df = written(spark.range(5), "some")
+    assert df.count() == 5 and drop_written(spark) >= 1 and drop_written(spark) == 0
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):  # noqa: B017
+        df.count()
