@@ -2,7 +2,7 @@
 
 Vectors are scaled to unit length and turned by a random rotation, so that any leading block of columns is a fair sample
 of a distance. Centroids are fitted on a bounded sample; every vector is then put into its nearest list and, as a query,
-probes the nearest few lists. Within a probed list the distances grow block by block, and after each block a hypothesis
+probes the nearest few lists, save those whose radius shows that they hold nothing near enough. Within a probed list the distances grow block by block, and after each block a hypothesis
 test gives up the candidates whose partial distance already shows, at the chosen confidence, that they lie beyond the
 query's k-th best. What survives is compared exactly, in double precision on the vectors as given.
 """
@@ -34,9 +34,10 @@ BLOCK = 16
 def sound(vectors: DataFrame, *, key: str, vec: str, dim: int) -> DataFrame:
     """``(id, v)``, one row per id: vectors that are not null, have ``dim`` numbers, no null, NaN or infinity, and are
     not all zero. A null id is left out; of an id's different sound vectors the smallest (as an array) is taken."""
-    v = F.col(vec).cast("array<double>")
+    # Single-precision vectors stay so where they are stored and sent; all arithmetic is in double precision.
+    kind = "array<float>" if vectors.schema[vec].dataType.simpleString() == "array<float>" else "array<double>"
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast(kind).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = rows.where((F.size("v") == dim) & ~bad & F.exists("v", lambda x: x != 0))
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
@@ -173,23 +174,26 @@ def nearest(
             d = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ c.T
             near = np.argpartition(-d, probes - 1, axis=1)[:, :probes]
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
+            gap = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(d, near, 1), 0))  # distances to those centroids
             off = pa.array(np.arange(0, near.size + 1, probes, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(off, pa.array(near.ravel()))], names=["id", "v", "near"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.ListArray.from_arrays(off, pa.array(x.ravel())) for x in (near, gap))], names=["id", "v", "near", "gap"])
 
-    placed = written(base.mapInArrow(assign, "id bigint, v array<double>, near array<int>"), "placed")
+    placed = written(base.mapInArrow(assign, f"id bigint, v {base.schema['v'].dataType.simpleString()}, near array<int>, gap array<double>"), "placed")
     # Lists that hold much are split; one row a list, at most MAX_LISTS, is broadcast.
-    sizes = placed.groupBy(F.col("near")[0].alias("list")).agg(F.count(F.lit(1)).alias("m"))
+    sizes = placed.groupBy(F.col("near")[0].alias("list")).agg(F.count(F.lit(1)).alias("m"), F.max(F.col("gap")[0]).alias("radius"))
     asked = placed.select(F.explode("near").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("a"))
     blocks = F.broadcast(
-        sizes.join(asked, "list").select("list", F.ceil(F.col("m") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("a") / QUERIES).cast("int").alias("qb"))
+        sizes.join(asked, "list").select("list", "radius", F.ceil(F.col("m") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("a") / QUERIES).cast("int").alias("qb"))
     )
     members = placed.select(F.col("near")[0].alias("list"), F.col("id").alias("mid"), F.col("v").alias("mv")).join(blocks, "list")
-    members = members.withColumn("x", F.pmod(F.xxhash64("mid"), "mb").cast("int"))
+    members = members.drop("radius").withColumn("x", F.pmod(F.xxhash64("mid"), "mb").cast("int"))
     mine = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
 
     def search(queries: DataFrame) -> DataFrame:
         """Each query's k best within each block of the list it asks."""
-        asks = queries.join(blocks, "list").withColumn("y", F.pmod(F.xxhash64("qid", F.lit(7)), "qb").cast("int"))
+        asks = queries.join(blocks, "list")
+        # Nothing in a list is nearer than its centroid less its radius: such a list is skipped, without loss.
+        asks = asks.where(F.col("gap") - F.col("radius") <= F.sqrt(F.col("bound") + 1e-5)).withColumn("y", F.pmod(F.xxhash64("qid", F.lit(7)), "qb").cast("int"))
         asks = asks.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select("list", "x", "y", "qid", "qv", "bound")
         held = members.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("list", "x", "y", "mid", "mv")
         keys = ["list", "x", "y"]
@@ -197,10 +201,11 @@ def nearest(
 
     turn = rotation(dim, seed)
     # The query's own list first: its k-th best there is the bound that lets the other lists abandon early.
-    home = written(search(placed.select(F.col("near")[0].alias("list"), F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(4.0).alias("bound"))), "home")
+    home = written(search(placed.select(F.col("near")[0].alias("list"), F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(0.0).alias("gap"), F.lit(4.0).alias("bound"))), "home")
     top = home.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k)
     bound = top.where(F.col("rank") == k).select(F.col("q").alias("id"), (2 - 2 * F.col("sim")).alias("bound"))
-    far = placed.join(bound, "id", "left").select(F.explode(F.slice("near", 2, max(1, probes))).alias("list"), F.col("id").alias("qid"), F.col("v").alias("qv"), F.coalesce("bound", F.lit(4.0)).alias("bound"))
+    rest = placed.select("id", "v", F.slice(F.arrays_zip("near", "gap"), 2, max(1, probes)).alias("rest")).join(bound, "id", "left")
+    far = rest.select(F.explode("rest").alias("p"), F.col("id").alias("qid"), F.col("v").alias("qv"), F.coalesce("bound", F.lit(4.0)).alias("bound")).select("qid", "qv", "bound", "p.gap", F.col("p.near").alias("list"))
     found = top.drop("rank").unionByName(search(far)) if probes > 1 else top.drop("rank")
     return found.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k)
 
