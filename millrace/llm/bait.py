@@ -115,7 +115,7 @@ def features(text: str | None) -> list[float]:
                 found = found + bare
                 rest = _HOST.sub(" ", rest)
         words = [w for w in _WORD.findall(rest.lower()) if not w.isdigit()]
-        stops = sum(w in _STOP for w in words)
+        stops = sum(len(w) > 1 and w in _STOP for w in words)  # spaced-out letters are no function words
         if found and len(words) <= 7 * len(found) and stops <= max(1, 0.15 * len(words)):
             links += size
             hosts += [h.lower() for h in found]
@@ -181,8 +181,8 @@ def page_features(docs: DataFrame, *, key: str, text: str, host: str) -> DataFra
 
 
 def weak_label() -> Column:
-    """1 and 0 for clear cases, null between: the share of bait decides, and no case is shorter than twelve words."""
-    return F.when((F.col("bait") >= 0.7), 1.0).when((F.col("bait") <= 0.35) | (F.col("size") < 60), 0.0)
+    """1 where bait clearly makes up most of the text, 0 where it clearly doesn't, null between."""
+    return F.when(F.col("bait") >= 0.6, 1.0).when(F.col("bait") <= 0.45, 0.0)
 
 
 def _logit(p: Column) -> Column:
@@ -205,15 +205,21 @@ def bait_pages(
     """
     pages = written(page_features(docs, key=key, text=text, host=host), "pages")
     labelled = pages.withColumn("label", weak_label()).where("label IS NOT NULL")
-    # A bounded, uniform and repeatable sample: the rows with the smallest hashes.
-    sample = written(labelled.select("label", *FEATURES).orderBy(F.xxhash64(*[F.col(c) for c in FEATURES], "label")).limit(fit_rows), "sample")
+    # Bounded, uniform and repeatable samples: the rows of either kind with the smallest hashes. Cases are rare, so twice
+    # as many of the other kind keep the trees' candidate thresholds between the two.
+    drawn = labelled.select("label", *FEATURES).orderBy(F.xxhash64(*[F.col(c) for c in FEATURES], "label"))
+    cases = written(drawn.where("label = 1").limit(fit_rows // 2), "cases")
+    n_cases = cases.count()
+    rest = drawn.where("label = 0").limit(min(fit_rows // 4, max(1000, 2 * n_cases)))
+    near = drawn.where("label = 0 AND (bait > 0.05 OR phrases > 0.3 OR links > 0.3)").limit(fit_rows // 4)  # near the line
+    sample = written(cases.unionByName(rest).unionByName(near), "sample")
     kinds = sample.select("label").distinct().count()
     if kinds < 2:
         judged = pages.withColumn("p", F.col("bait"))
     else:
         vector = VectorAssembler(inputCols=FEATURES, outputCol="v")
         forest = RandomForestClassifier(
-            featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=0.8, bootstrap=True, seed=17, minInstancesPerNode=3
+            featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=0.8, bootstrap=True, seed=17, minInstancesPerNode=3, maxBins=128
         )
         model = forest.fit(vector.transform(sample))
         judged = model.transform(vector.transform(pages)).withColumn("p", vector_to_array("probability")[1])
