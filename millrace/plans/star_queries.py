@@ -20,7 +20,7 @@ from millrace.operators.trainer import TrainConfig, batch_bias_gradients, batch_
 from millrace.plans.pipeline import PipelineConfig, run
 from millrace.schema import table
 from millrace.session import cut, written
-from millrace.sources.generator import Catalogue, GeneratorConfig, generate
+from millrace.sources.generator import GeneratorConfig, generate
 from millrace.streaming.histogram import counts, head_share, read_events, run_to_end, windowed_popularity
 
 K, SEED, TAU = 20, 42, 0.05
@@ -594,11 +594,6 @@ def daily_popularity(spark: SparkSession, d: str) -> DataFrame:
 # -- models (rows only) -----------------------------------------------------------------------------------------------
 
 
-def _generated(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    cfg = GeneratorConfig(n_users=1000, n_items=300, n_categories=8)
-    return cut(generate(spark, 40_000, cfg)), Catalogue(cfg).items(spark)
-
-
 _SMALL = TrainConfig(dim=32, lr=0.3, batch=256, epochs=3, log_every=50)
 
 
@@ -655,7 +650,7 @@ def pca_items(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    lg, it = _generated(spark)
-    return run(lg, it, PipelineConfig(k=10, pool=40, cells=16, probes=8, trees=8, max_positives=5000, train=_SMALL)).metrics
+    """The whole pipeline over the whole log, with its production settings."""
+    return run(written(log(spark, d), "log"), items(spark, d), PipelineConfig()).metrics
 
 
