@@ -5,6 +5,7 @@ The interaction log is orders, lineitem and part: the customer takes a part at t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -614,24 +615,30 @@ def kmeans_ivf(spark: SparkSession, d: str) -> DataFrame:
     return search.ivf_search(searchers(spark, d), cells, search.mean_centroids(cells), n_probe=14, k=10)
 
 
-def _ranker(spark: SparkSession, d: str, trees: int) -> tuple[Ranker, DataFrame]:
+def _ranker(spark: SparkSession, d: str, trees: int) -> tuple[Ranker, DataFrame, Split, Callable[[DataFrame], DataFrame]]:
+    """The ranker, the bounded sample it is fitted on, the split, and the features of any pairs."""
     s = _stored(_split(spark, d))
     u, i = (cut(x) for x in _towers(spark, d))
     us, st = cut(stats.user_stats(s.train, items(spark, d))), cut(stats.item_stats(s.train, items(spark, d)))
+    featured = lambda pairs: pair_features(pairs, u, i, items(spark, d), us, st, TAU)
     pairs = training_pairs(s.train, "event_id", items(spark, d).count(), max_positives=20_000, per_positive=4, seed=SEED, first_item=1)
-    labelled = cut(pair_features(pairs, u, i, items(spark, d), us, st, TAU))
-    return Ranker.fit(labelled, trees=trees, depth=4), labelled
+    labelled = cut(featured(pairs))
+    return Ranker.fit(labelled, trees=trees, depth=4), labelled, s, featured
 
 
 @query()
 def gbt_rerank(spark: SparkSession, d: str) -> DataFrame:
-    ranker, labelled = _ranker(spark, d, 10)
-    return ranker.rerank(labelled.withColumn("rank", F.lit(1)), K)
+    """Re-ranks the unseen shortlist of every evaluated user; the sample is for the fit alone."""
+    ranker, _, s, featured = _ranker(spark, d, 10)
+    u, i = _towers(spark, d)
+    q = u.join(s.eval_users, "user_id", "left_semi").select(F.col("user_id").alias("query_id"), V.with_one(F.col("vec")).alias("vec"))
+    pool = search.pool_search(q, i.select("item_id", V.with_bias(F.col("vec"), F.col("bias"), TAU).alias("vec")), s.history, PipelineConfig().pool)
+    return ranker.rerank(featured(cut(pool.select("user_id", "item_id", "rank"))), K)
 
 
 @query()
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    ranker, labelled = _ranker(spark, d, 5)
+    ranker, labelled, _, _ = _ranker(spark, d, 5)
     return ranker.importance(labelled, repeats=1)
 
 
