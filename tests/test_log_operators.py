@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.hashing import with_uniforms
 from millrace.operators import baselines, metrics, stats
 from millrace.operators.ranking import exact_quantile, row_numbers
-from millrace.operators.split import leak_check, temporal_split
+from millrace.operators.split import Split, leak_check, temporal_split
 from millrace.schema import counted_events
 from millrace.sources.datasource import register, uniforms
 from millrace.sources.generator import Catalogue, GeneratorConfig, generate
@@ -97,6 +97,17 @@ def test_metrics_by_hand(spark):
     assert by[1]["ndcg"] == pytest.approx(1.0) and by[1]["recall"] == 1.0 and by[2]["recall"] == 0.0 and by[2]["ndcg"] == 0.0
 
 
+def test_random_recommendations_are_complete_for_users_who_saw_nearly_everything(spark):
+    n, k = 10_000, 20
+    saw = {1: n - 100, 2: n - 7, 3: n, 4: 0, 5: n // 2}
+    history = spark.createDataFrame([(u, i) for u, m in saw.items() for i in range(1, m + 1)], "user_id long, item_id long")
+    gt = spark.createDataFrame([(u, n) for u in saw], "user_id long, item_id long")
+    rnd = [tuple(r) for r in baselines.random_recs(Split(0.0, None, None, history, gt), n, k, 42, first_item=1).collect()]
+    for u, m in saw.items():
+        own = sorted((rank, item) for user, rank, item in rnd if user == u)
+        assert [rank for rank, _ in own] == list(range(1, min(k, n - m) + 1)) and len({i for _, i in own}) == len(own) and all(m < i <= n for _, i in own)
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 7])
 def test_generated_log_ignores_partitions(spark, partitions):
     cfg = GeneratorConfig(n_users=500, n_items=200, seed=7)
