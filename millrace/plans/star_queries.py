@@ -14,7 +14,7 @@ from millrace.functions import vectors as V
 from millrace.functions.generator_math import cumulative, trend_table, zipf_weights
 from millrace.functions.hashing import uniform_sql, with_uniforms
 from millrace.operators import baselines, metrics, search, stats
-from millrace.operators.ranker import Ranker, pair_features, training_pairs
+from millrace.operators.ranker import Ranker, importance_pairs, pair_features, training_pairs
 from millrace.operators.sampling import negative_samples, positive_sample
 from millrace.operators.split import Split, leak_check, temporal_split
 from millrace.operators.trainer import TrainConfig, batch_bias_gradients, batch_losses, train
@@ -621,7 +621,8 @@ def _ranker(spark: SparkSession, d: str, trees: int) -> tuple[Ranker, DataFrame,
     u, i = (cut(x) for x in _towers(spark, d))
     us, st = cut(stats.user_stats(s.train, items(spark, d))), cut(stats.item_stats(s.train, items(spark, d)))
     featured = lambda pairs: pair_features(pairs, u, i, items(spark, d), us, st, TAU)
-    pairs = training_pairs(s.train, "event_id", items(spark, d).count(), max_positives=20_000, per_positive=4, seed=SEED, first_item=1)
+    n, first = items(spark, d).agg(F.count(F.lit(1)), F.min("item_id")).head()
+    pairs = training_pairs(s.train, "event_id", n, max_positives=20_000, per_positive=4, seed=SEED, first_item=first)
     labelled = cut(featured(pairs))
     return Ranker.fit(labelled, trees=trees, depth=4), labelled, s, featured
 
@@ -638,8 +639,10 @@ def gbt_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    ranker, labelled, _, _ = _ranker(spark, d, 5)
-    return ranker.importance(labelled, repeats=1)
+    """Over a sample of its own, with negatives drawn by popularity; three repeats."""
+    ranker, _, s, featured = _ranker(spark, d, 5)
+    st = stats.item_stats(s.train, items(spark, d))
+    return ranker.importance(cut(featured(importance_pairs(s.train, "event_id", st, max_positives=20_000, seed=SEED + 3))))
 
 
 @query()
