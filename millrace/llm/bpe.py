@@ -1,15 +1,16 @@
 """A byte-level BPE encoder in numpy matrices (problem 7), and its Spark operators.
 
 Texts of an Arrow batch are handled together, never one by one: code points are classified by a table, word starts come
-from comparisons of neighbours, words are identified by a 128-bit hash, and only words not met before are merged. Those
-are grouped by length into padded matrices; each round every row merges its leftmost pair of minimum rank, found by a
-hashed pair lookup, and closes the gap, until no row has a pair left. Words too long for a matrix go through an exact
-heap instead.
+from comparisons of neighbours, words are looked up by a hash and compared byte by byte with the word found there, and
+only words not met before are merged. Those are grouped by length into padded matrices; each round every row merges its
+leftmost pair of minimum rank, found by a hashed pair lookup, and closes the gap, until no row has a pair left. A word
+too long for a matrix merges all places of its minimum rank in a round, in the same order.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ REMEMBERED = 1_000_000
 SLICE = 1_500_000
 
 _NONE = np.int64(1 << 40)  # rank of a pair that doesn't merge
+_WITHIN = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)  # masks of the first n of eight bytes
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
 
@@ -52,6 +54,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``size`` of each, one after another."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
+
+
+class _Eights:
+    """Words of a byte array, eight bytes at a time."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        self.view = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from any place on
+
+    def part(self, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+        """The k-th eight bytes of each word, zero beyond its end."""
+        return self.view[start + 8 * k] & _WITHIN[np.minimum(size - 8 * k, 8)]
+
+    def hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = _mix(self.part(start, size, 0) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        k, live = 1, np.flatnonzero(size > 8)
+        while len(live) and k < LONGEST_ROW // 8:
+            h[live] = _mix(h[live] ^ self.part(start[live], size[live], k))
+            k, live = k + 1, live[size[live] > 8 * (k + 1)]
+        for i in live:  # long words are few
+            word = self.raw[start[i] : start[i] + size[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+    def equal(self, start: np.ndarray, other: _Eights, other_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each word is, byte by byte, the word of the same size in ``other``."""
+        same = self.part(start, size, 0) == other.part(other_start, size, 0)
+        k, live = 1, np.flatnonzero(same & (size > 8))
+        while len(live) and k < LONGEST_ROW // 8:
+            ok = self.part(start[live], size[live], k) == other.part(other_start[live], size[live], k)
+            same[live[~ok]] = False
+            k, live = k + 1, live[ok & (size[live] > 8 * (k + 1))]
+        for i in live:
+            a, b, n = start[i], other_start[i], size[i]
+            same[i] = np.array_equal(self.raw[a : a + n], other.raw[b : b + n])
+        return same
+
+
 class PairTable:
     """(left id, right id) to merged id, by open addressing in numpy arrays."""
 
@@ -104,35 +149,16 @@ class Encoder:
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.whole = ranks
         self.classes = _classes()
-        rng = np.random.default_rng(5)
-        self.salt = rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
-        self.base = [int(x) | 1 for x in rng.integers(1 << 60, 1 << 62, 2)]
-        self.powers = [np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2
         self._forget()
 
     def _forget(self) -> None:
-        self.seen = np.empty(0, np.uint64)  # first hash, sorted
-        self.seen2 = np.empty(0, np.uint64)  # second hash of the same words
-        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.seen = np.empty(0, np.uint64)  # hashes of the known words, sorted; equal ones stand together
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # where the bytes of each word lie
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)  # where its ids lie
+        self.bytes = np.empty(0, np.uint8)
+        self.eights = _Eights(self.bytes)
         self.flat = np.empty(0, np.int32)
 
-    def _power(self, n: int) -> None:
-        """Powers of the two hash bases and their inverses modulo 2^64, at least ``n`` of each."""
-        have = len(self.powers[0][0])
-        if have >= n:
-            return
-        size = max(n, 2 * have, 1 << 16)
-        for k, b in enumerate(self.base):
-            for which, f in ((0, b), (1, pow(b, -1, 1 << 64))):
-                p = np.empty(size, np.uint64)
-                p[0] = 1
-                done = 1
-                while done < size:
-                    m = min(done, size - done)
-                    p[done : done + m] = p[:m] * np.uint64(pow(f, done, 1 << 64))
-                    done += m
-                self.powers[which][k] = p
-
     def split(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Byte offsets at which words start in the UTF-8 bytes ``raw`` of texts that start at ``bounds`` (unique)."""
         if not len(raw):
@@ -169,35 +195,68 @@ class Encoder:
                 start[after[after < n]] = True
         return lead[start]
 
-    def _heap(self, ids: np.ndarray) -> np.ndarray:
-        """One word of any length: the leftmost pair of minimum rank first, by a heap over a linked list."""
-        tok = ids.tolist()
-        n = len(tok)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.pairs.get(ids[:-1], ids[1:])
-        heap = [(int(r), i, tok[i], tok[i + 1]) for i, r in enumerate(rank) if r != _NONE]
-        heapq.heapify(heap)
-
-        def offer(i: int) -> None:
-            j = nxt[i]
-            if j < n:
-                r = int(self.pairs.get(np.array([tok[i]]), np.array([tok[j]]))[0])
-                if r != _NONE:
-                    heapq.heappush(heap, (r, i, tok[i], tok[j]))
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i] if tok[i] == a else n
-            if tok[i] != a or j >= n or tok[j] != b:
+    def _long(self, ids: np.ndarray) -> np.ndarray:
+        """One word of any length. Places wait in a bucket per rank; the lowest bucket is merged from left to right at
+        once, up to the first merge that creates a pair of a still lower rank."""
+        n = len(ids)
+        tok = np.append(ids, -1)  # token at each living place; the end mark pairs with nothing
+        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        alive = np.ones(n, bool)
+        rank = np.full(n + 1, _NONE)
+        rank[: n - 1] = self.pairs.get(ids[:-1], ids[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            r = rank[places]
+            o = np.argsort(r, kind="stable")
+            o = o[: int(np.searchsorted(r[o], _NONE))]
+            r, places = r[o], places[o]
+            cut = np.flatnonzero(np.diff(r)) + 1
+            for value, part in zip(r[np.append(0, cut)].tolist() if len(r) else (), np.split(places, cut)):
+                if value not in waiting:
+                    heapq.heappush(order, value)
+                    waiting[value] = []
+                waiting[value].append(part)
+
+        def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            out = np.full(len(left), _NONE)
+            real = (left >= 0) & (right >= 0)
+            out[real] = self.pairs.get(left[real], right[real])
+            return out
+
+        wait(np.arange(n - 1))
+        while order:
+            r = heapq.heappop(order)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]  # others have changed or gone since
+            if not len(at):
                 continue
-            tok[i], tok[j] = r, -1
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            if prv[i] >= 0:
-                offer(prv[i])
-            offer(i)
-        return np.array([t for t in tok if t >= 0], np.int64)
+            # Of places that overlap one another (a run of equal tokens) every second one merges.
+            chained = np.concatenate(([False], nxt[at[:-1]] == at[1:]))
+            head = np.flatnonzero(~chained)
+            at = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0]
+            after = nxt[nxt[at]]
+            before = prv[at]
+            touching = np.concatenate(([False], after[:-1] == at[1:]))  # the merge before this one ends where it begins
+            left = np.where(touching, r, tok[before])
+            left[before < 0] = -1
+            lower = (pair(left, np.full(len(at), r)) < r) | (pair(np.full(len(at), r), tok[after]) < r)
+            if lower.any():
+                k = int(lower.argmax()) + 1
+                waiting[r] = [at[k:]]
+                heapq.heappush(order, r)
+                at, after, before = at[:k], after[:k], before[:k]
+            rank[nxt[at]] = _NONE
+            alive[nxt[at]] = False
+            tok[at] = r
+            nxt[at] = after
+            prv[after] = at
+            left = prv[at]
+            fresh = np.unique(np.concatenate([at, left[left >= 0]]))
+            rank[fresh] = pair(tok[fresh], tok[nxt[fresh]])
+            wait(fresh)
+        return tok[:n][alive]
 
     def merge(self, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``rows`` of initial ids, padded; merged in place. Gives the rows and their new lengths."""
@@ -262,7 +321,7 @@ class Encoder:
                 count[a] = n
                 parts.append((a, n, ids))
         for a in np.flatnonzero(size > LONGEST_ROW):
-            singles[int(a)] = self._heap(self.byte_id[raw[start[a] : start[a] + size[a]]])
+            singles[int(a)] = self._long(self.byte_id[raw[start[a] : start[a] + size[a]]])
             count[a] = len(singles[int(a)])
         off = np.cumsum(count) - count
         flat = np.empty(int(count.sum()), np.int32)
@@ -277,47 +336,47 @@ class Encoder:
         """Word starts of the texts, and for each word its place in the memory."""
         start = self.split(raw, bounds)
         size = np.diff(np.append(start, len(raw)))
-        self._power(len(raw) + 1)
-        h = []
-        for k in range(2):
-            total = np.empty(len(raw) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(self.salt[k][raw] * self.powers[0][k][: len(raw)], out=total[1:])
-            h.append(_mix((total[start + size] - total[start]) * self.powers[1][k][start] + size.astype(np.uint64)))
+        eights = _Eights(raw)
+        h = eights.hashes(start, size)
         if len(self.seen) > REMEMBERED:
             self._forget()
-        at = self._find(h[0], h[1])
+        at = self._find(h, eights, start, size)
         new = np.flatnonzero(at < 0)
-        if len(new):
-            # Distinct new words, by both hashes.
-            order = np.lexsort((h[1][new], h[0][new]))
-            o = new[order]
-            first = np.concatenate(([True], (h[0][o][1:] != h[0][o][:-1]) | (h[1][o][1:] != h[1][o][:-1])))
-            words = o[first]
+        while len(new):  # more than one round only where different new words share a hash
+            order = new[np.argsort(h[new], kind="stable")]
+            words = order[np.concatenate(([True], h[order][1:] != h[order][:-1]))]
             count, flat = self._learn(raw, start[words], size[words])
-            begin = len(self.flat) + np.cumsum(count) - count
+            place = np.searchsorted(self.seen, h[words])  # both sorted: the merge keeps the order
+            ids_at, bytes_at = len(self.flat) + np.cumsum(count) - count, len(self.bytes) + np.cumsum(size[words]) - size[words]
             self.flat = np.concatenate([self.flat, flat])
-            keys, keys2 = np.concatenate([self.seen, h[0][words]]), np.concatenate([self.seen2, h[1][words]])
-            starts, counts = np.concatenate([self.start, begin]), np.concatenate([self.count, count])
-            order = np.lexsort((keys2, keys))
-            self.seen, self.seen2, self.start, self.count = keys[order], keys2[order], starts[order], counts[order]
-            at = self._find(h[0], h[1])
+            self.bytes = np.concatenate([self.bytes, raw[_ranges(start[words], size[words])]])
+            self.eights = _Eights(self.bytes)
+            self.at, self.size = np.insert(self.at, place, bytes_at), np.insert(self.size, place, size[words])
+            self.start, self.count = np.insert(self.start, place, ids_at), np.insert(self.count, place, count)
+            self.seen = np.insert(self.seen, place, h[words])
+            known = np.flatnonzero(at >= 0)
+            at[known] += np.searchsorted(place, at[known], "right")  # pushed back by the inserted ones
+            at[new] = self._find(h[new], eights, start[new], size[new])
+            new = new[at[new] < 0]
         return start, at
 
-    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Places of words by both hashes, -1 where unknown."""
-        out = np.full(len(a), -1)
+    def _find(self, h: np.ndarray, eights: _Eights, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of words, -1 where unknown. The hash only finds candidates: bytes decide."""
+        out = np.full(len(h), -1)
         if not len(self.seen):
             return out
-        keys, back = np.unique(a, return_inverse=True)  # sorted keys walk the memory in order
+        keys, back = np.unique(h, return_inverse=True)  # sorted keys walk the memory in order
         at = np.searchsorted(self.seen, keys)[back]
-        todo = np.arange(len(a))
-        while len(todo):  # equal first hashes stand together; the second decides
+        todo = np.arange(len(h))
+        while len(todo):  # equal hashes stand together
             at_ = np.minimum(at[todo], len(self.seen) - 1)
-            same = (at[todo] < len(self.seen)) & (self.seen[at_] == a[todo])
-            hit = same & (self.seen2[at_] == b[todo])
-            out[todo[hit]] = at[todo[hit]]
-            todo = todo[same & ~hit]
+            same = (at[todo] < len(self.seen)) & (self.seen[at_] == h[todo])
+            todo, at_ = todo[same], at_[same]
+            equal = self.size[at_] == size[todo]
+            k = np.flatnonzero(equal)
+            equal[k] = eights.equal(start[todo[k]], self.eights, self.at[at_[k]], size[todo[k]])
+            out[todo[equal]] = at_[equal]
+            todo = todo[~equal]
             at[todo] += 1
         return out
 

@@ -43,6 +43,39 @@ def test_long_words_and_slices(known, enc, monkeypatch):
     assert enc.encode(pa.array(texts)).to_pylist() == want and enc.lengths(pa.array(texts)).tolist() == [len(w) for w in want]
 
 
+def _thue_morse(k, a, b):
+    bits = [0]
+    for _ in range(k):
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits)
+
+
+def test_words_that_collide_under_polynomial_hashes(known, enc):
+    texts = [_thue_morse(k, a, b) for k in range(7, 13) for x, y in (("a", "b"), ("é", "x"), ("漢", "字")) for a, b in ((x, y), (y, x))]
+    want = [known.encode_ordinary(t) for t in texts]
+    assert enc.encode(pa.array(texts)).to_pylist() == want
+    assert enc.encode(pa.array(texts[::-1])).to_pylist() == want[::-1]
+    assert [enc.encode(pa.array([t])).to_pylist()[0] for t in texts] == want
+
+
+def test_bytes_decide_where_hashes_are_equal(known, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr("millrace.llm.bpe._Eights.hashes", lambda self, start, size: (size % 2).astype(np.uint64))
+    fresh = Encoder(os.path.join(FOLDER, "byte_bpe_50k.tiktoken"))
+    for texts in (["one two three four five", "eno owt"], ["six two", "q" * 600, "q" * 599 + "r", "the brown fox", None], ["seven internationalisation internationalizations"]):
+        assert fresh.encode(pa.array(texts)).to_pylist() == [known.encode_ordinary(t or "") for t in texts]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.sampled_from(["ab", "abc", "etaoinshr", "ABab", "=-_+#/", " \n\t", "漢字éß"]), st.integers(0, 1 << 30), st.integers(513, 6000))
+def test_words_beyond_the_matrix(known, enc, letters, seed, n):
+    import random
+
+    text = "".join(random.Random(seed).choices(letters, k=n))
+    assert enc.encode(pa.array([text])).to_pylist() == [known.encode_ordinary(text)]
+
+
 def test_memory_starts_afresh(known, monkeypatch):
     monkeypatch.setattr("millrace.llm.bpe.REMEMBERED", 3)
     fresh = Encoder(os.path.join(FOLDER, "byte_bpe_50k.tiktoken"))
