@@ -1,16 +1,15 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-A text is read line by line (long lines in pieces) and every line is put into one kind: program list, link line, code,
-prose or plain phrases. From these come content features (how much of the text repeats and permutes few words, how
-little variety it has) and link features (how much consists of links to many foreign hosts). Rules that only decide clear
-cases give weak labels; bagged decision trees are fitted to a bounded sample of them and predict every page; at last the
-predictions are smoothed with the spam rate of the other pages of the same host, here the repository.
+Every page is measured twice, see ``page_features``. Crude signals of the text as a whole (how far it packs, how many word
+pairs its words form, how many foreign hosts it names, how much of it is program text) vote, and where the votes agree a page
+has a weak label. Bagged decision trees, each split seeing a part of the features, are fitted to a bounded sample of the
+labelled pages; their features are others than the signals, so they learn what the labelled pages are like and judge those
+the signals leave open. At last predictions are smoothed with the rate among the other pages of the same host, here the
+repository, as far as hosts differ more than chance.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,169 +19,50 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.page_features import FEATURES, SIGNALS, measured
 from millrace.session import written
 
 #: Weakly labelled pages the trees are fitted on, at most.
 FIT_ROWS = 20_000
-#: Characters of a line from which it is read in pieces, and the length of a piece.
-LONG_LINE, PIECE = 400, 300
-
-# Endings by which a bare site name is recognised.
-_ENDINGS = (
-    "com|net|org|info|biz|io|co|me|tv|cc|us|uk|de|fr|es|it|nl|pl|ru|ua|cn|jp|kr|in|br|eu|shop|site|online|store|top|xyz|club|live|app|dev|edu|gov|"
-    "page|link|click|win|vip|pro|example|invalid|test"
-)
-# Function words of English, by which prose is told from lists of phrases.
-_STOP = frozenset(
-    "the a an of in is to and for it this that be are was with has as by on or from when not if so we you your before after until every which each "
-    "more than but keep how often".split()
-)
-_URL = re.compile(r"(?:https?:)?//(?:www\.)?([\w][\w.-]*\.[a-z]{2,})(?:[:/?#][^\s\"'<>)\]]*)?", re.IGNORECASE)
-_HOST = re.compile(rf"(?<![\w@./-])(?:www\.)?((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:{_ENDINGS}))(?![\w(.-])(?:/[^\s\"'<>)\]]*)?", re.IGNORECASE)
-_INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
-_WORD = re.compile(r"[^\s,.;:|!?\"'()<>#\[\]{}=/*_`~+–—·•»«-]+")
-_CODE = re.compile(r"[{}();=<>\[\]\\^$]|::|->|\":")
-_TAG = re.compile(r"<(?:/?[a-z!][^<>]{0,400}|/)>", re.IGNORECASE)
-_ATTRIBUTE = re.compile(r"(?:title|alt|content|value|label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.IGNORECASE)
-_MARKDOWN = re.compile(r"\[([^\[\]]*)\]\(([^()\s]*)\)")
-#: Lines of lists that serve a program: block lists, pinned dependencies, lock files, site maps, test runs.
-_SERVES = re.compile(
-    r"^\s*(?:\d{1,3}(?:\.\d{1,3}){3}\s|\|\||address=|server=)|[=>~^]=?=\s?v?\d|<loc>|\"(?:resolved|integrity|version|url|homepage)\"\s*:|\bfrom\s+https?:|\.\.\. ?(?:ok|FAILED|skipped)\s*$"
-)
-_HASHTAG = re.compile(r"(?:^|\s)#\w")
-_SEGMENT = re.compile(r"\s[|–—·-]\s|[,;|]")
-_POINTER = re.compile(r"\s(?:>>+|->|=>|→|»)\s")
-_SENTENCE = re.compile(r"[.?!]+\s*")
-_EDGE = " \t#/*->+,\"'%;|"
-
-FEATURES = ["size", "words", "variety", "permuted", "top", "phrases", "links", "hosts", "host_variety", "refrain", "code", "serves", "prose", "bait"]
-
-
-def _lines(text: str) -> Iterator[str]:
-    for line in _INVISIBLE.sub("", text).splitlines():
-        if len(line) <= LONG_LINE:
-            yield line
-            continue
-        s = 0
-        while s < len(line):
-            e = s + PIECE
-            if e < len(line):
-                k = line.find(" ", e, e + PIECE)
-                e = k + 1 if k > 0 else e
-            yield line[s:e]
-            s = e
-
-
-def features(text: str | None) -> list[float]:
-    """The values of ``FEATURES`` for one whole text; shares are of its non-blank characters. Null and empty give zeros."""
-    total = links = code = serves = prose = tagged = 0
-    phrases: list[tuple[list[str], int, bool]] = []
-    sentences: list[tuple[set[str], int, int]] = []
-    hosts: list[str] = []
-    for line in _lines(text or ""):
-        size = len(line.strip())
-        if not size:
-            continue
-        total += size
-        found: list[str] = []
-        rest = line
-        if "//" in line:
-            found = _URL.findall(line)
-            if found:
-                if _SERVES.search(line):
-                    serves += size
-                    continue
-                rest = _URL.sub(" ", line)
-        if "<" in rest:
-            named = [a or b for a, b in _ATTRIBUTE.findall(rest)] if "=" in rest else []
-            rest = " ".join([_TAG.sub(" ", rest), *named])
-        if "](" in rest:
-            rest = _MARKDOWN.sub(r" \1 ", rest)
-        if ">" in rest:
-            rest = _POINTER.sub(" ", f"{rest} ")
-        tags = len(_HASHTAG.findall(line)) if "#" in line else 0
-        rest = rest.strip(_EDGE)
-        coded = _CODE.search(rest) is not None
-        if coded and not found:
-            code += size
-            continue
-        if not found and _SERVES.search(line):
-            serves += size
-            continue
-        if "." in rest and not coded:
-            bare = _HOST.findall(rest)
-            if bare:
-                found = found + bare
-                rest = _HOST.sub(" ", rest)
-        words = [w for w in _WORD.findall(rest.lower()) if not w.isdigit()]
-        stops = sum(len(w) > 1 and w in _STOP for w in words)  # spaced-out letters are no function words
-        if found and len(words) <= 7 * len(found) and stops <= max(1, 0.15 * len(words)):
-            links += size
-            hosts += [h.lower() for h in found]
-            phrases.append((words, size, True))
-        elif coded:
-            code += size
-        elif not words:
-            continue
-        elif tags >= 3 and tags >= 0.7 * len(line.split()):
-            tagged += size
-            phrases.append((words, size, True))
-        elif stops > 0.12 * len(words) and not (stops <= 0.3 * len(words) and len(parts := _SEGMENT.split(rest)) >= 3 and len(words) <= 5 * len(parts)):
-            prose += size
-            for part in _SENTENCE.split(rest.lower()):
-                w = _WORD.findall(part)
-                if w:
-                    sentences.append(({x for x in w if x not in _STOP}, len(w), len(part)))
-        else:
-            phrases.append((words, size, False))
-
-    if not total:
-        return [0.0] * len(FEATURES)
-    count: Counter[str] = Counter()
-    pairs: set[tuple[str, str]] = set()
-    for words, _, _ in phrases:
-        count.update(words)
-        pairs.update(zip(words, words[1:]))
-    n = sum(count.values())
-    often = {w for w, k in count.items() if k >= 3}
-    repeated = sum(size for words, size, link in phrases if not link and sum(w in often for w in words) >= 0.5 * len(words))
-    permuted = len(pairs) / max(1, len(count))
-    # Short sentences that keep naming the same thing: the thing, or one of two, is in nearly all of them.
-    refrain = 0
-    if len(sentences) >= 6:
-        named = Counter(w for s, _, _ in sentences for w in s)
-        keep = {w for w, k in named.most_common(2) if k >= 5 and k >= 0.3 * len(sentences)}
-        hit = [(k, size) for s, k, size in sentences if s & keep]
-        if hit and sum(k for k, _ in hit) <= 9 * len(hit) and len(hit) >= 0.75 * len(sentences):
-            refrain = sum(size for _, size in hit)
-    named_hosts = Counter(hosts)
-    foreign = len(named_hosts)
-    variety = 1 - named_hosts.most_common(1)[0][1] / len(hosts) if hosts else 0.0  # without the most linked host
-    share = lambda x: x / total
-    bait = (repeated if permuted >= 1.3 and n >= 12 else 0) + tagged + (links if foreign >= 5 and variety >= 0.6 else 0) + refrain
-    return [
-        float(total), float(n), len(count) / max(1, n), permuted, sum(k for _, k in count.most_common(12)) / max(1, n), share(repeated + tagged), share(links),
-        float(foreign), variety, share(refrain), share(code), share(serves), share(prose), share(bait),
-    ]
+#: Pages without bait for each page with it in the sample; where cases are rarer, they are repeated up to this.
+PER_CASE = 2
 
 
 def page_features(docs: DataFrame, *, key: str, text: str, host: str) -> DataFrame:
-    """``(key, host, <FEATURES>)`` for every row, in one pass without shuffle."""
+    """``(key, host, <FEATURES>, <SIGNALS>)`` for every row, in one pass without shuffle."""
     rows = docs.select(F.col(key).alias("k"), F.col(host).alias("h"), F.col(text).alias("t"))
-    shape = ", ".join([f"k {rows.schema['k'].dataType.simpleString()}", f"h {rows.schema['h'].dataType.simpleString()}", *[f"{c} double" for c in FEATURES]])
+    names = [*FEATURES, *SIGNALS]
+    shape = ", ".join([f"k {rows.schema['k'].dataType.simpleString()}", f"h {rows.schema['h'].dataType.simpleString()}", *[f"{c} double" for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t.as_py()) for t in b.column(2)]
-            cols = [pa.array([r[i] for r in got], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["k", "h", *FEATURES])
+            for s, e, got in measured(b.column(2)):
+                cols = [pa.array(got[c].astype(float)) for c in names]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), *cols], names=["k", "h", *names])
 
     return rows.mapInArrow(run, shape)
 
 
 def weak_label() -> Column:
-    """1 where bait clearly makes up most of the text, 0 where it clearly doesn't, null between."""
-    return F.when(F.col("bait") >= 0.6, 1.0).when(F.col("bait") <= 0.45, 0.0)
+    """1 where a signal for bait stands alone, 0 where a signal against it does, null where neither or both do.
+
+    For: few words in many pairs that pack well, in no sentences or in very short ones; many hosts and little beside them;
+    letters that keep repeating whatever parts them. Against: program text, text that hardly packs or repeats, sentences of ordinary
+    length, tables of numbers, lines that all end alike.
+    """
+    c = F.col
+    soft = (c("s_symbols") < 0.1) & (c("s_tail") < 0.9)
+    some = c("s_words") >= 40
+    loose = c("s_stops") <= 1 / 30
+    stuffed = some & (c("s_packed") <= 0.42) & (c("s_grams") >= 2) & loose & (c("s_hosts") <= 2)
+    chanted = some & (c("s_packed") <= 0.36) & (c("s_grams") >= 1.7) & (c("s_stops") >= 1 / 8)
+    linking = (c("s_hosts") >= 8) & (c("s_words") <= 5 * c("s_urls")) & (c("s_numerals") <= 0.5 * c("s_urls"))
+    glued = (c("s_novelty") <= 0.4) & (c("s_words") >= 20) & loose & (c("s_numerals") <= 0.3 * c("s_words"))
+    bait = soft & (stuffed | chanted | linking | glued)
+    prose = (c("s_grams") < 2) & (c("s_stops") > 1 / 25) & (c("s_stops") < 1 / 9.5) & (c("s_urls") <= c("s_words") / 12)
+    varied = ((c("s_packed") >= 0.5) | (c("s_novelty") >= 0.75)) & (c("s_hosts") < 5)
+    fair = (c("s_symbols") >= 0.25) | varied | prose | (c("s_tail") >= 0.9) | (c("s_numerals") >= 0.5 * c("s_words") + 1) | ((c("s_words") < 10) & (c("s_hosts") <= 1))
+    return F.when(bait & ~fair, 1.0).when(fair & ~bait, 0.0)
 
 
 def _logit(p: Column) -> Column:
@@ -190,44 +70,66 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def _forest(pages: DataFrame, fit_rows: int, trees: int, depth: int) -> DataFrame:
+    """``pages`` with the trees' probability ``p``; the labels alone decide where they are all of one kind."""
+    labelled = pages.where("s_size > 0").withColumn("label", weak_label()).where("label IS NOT NULL")
+    # Bounded, uniform and repeatable samples: the rows of either kind with the smallest hashes.
+    drawn = labelled.select("label", *FEATURES).orderBy(F.xxhash64(*[F.col(c) for c in FEATURES]))
+    cases = written(drawn.where("label = 1").limit(fit_rows // (1 + PER_CASE)), "cases")
+    n = cases.count()
+    others = written(drawn.where("label = 0").limit(fit_rows - fit_rows // (1 + PER_CASE)), "others")
+    m = others.count()
+    if not n or not m:
+        return pages.withColumn("p", F.coalesce(weak_label(), F.lit(0.0)))
+    copies = max(1, round(m / (PER_CASE * n)))  # so that few cases are still in every tree's sample
+    sample = cases.withColumn("__c", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("__c").unionByName(others)
+    vector = VectorAssembler(inputCols=FEATURES, outputCol="v")
+    forest = RandomForestClassifier(
+        featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", bootstrap=True, subsamplingRate=1.0, seed=17, minInstancesPerNode=1, maxBins=64
+    )
+    model = forest.fit(vector.transform(sample))
+    return model.transform(vector.transform(pages)).withColumn("p", vector_to_array("probability")[1])
+
+
 def bait_pages(
-    docs: DataFrame, *, key: str, text: str, host: str, fit_rows: int = FIT_ROWS, trees: int = 20, depth: int = 5, pull: float = 0.2, strength: float = 10.0, threshold: float = 0.5
+    docs: DataFrame, *, key: str, text: str, host: str, fit_rows: int = FIT_ROWS, trees: int = 40, depth: int = 10, pull: float = 0.2, threshold: float = 0.5, smooth: bool = True
 ) -> DataFrame:
     """``(key, score)`` of the rows judged search bait: ``score`` is the smoothed probability, at least ``threshold``.
 
-    ``pull`` weighs the host's evidence: the log-odds of its rate among its other pages, shrunk by ``strength`` pages of
-    the overall rate, against the overall rate.
+    Smoothing adds ``pull`` times the host's evidence: the log-odds of the rate among its other pages against the overall
+    rate. That rate is shrunk towards the overall one by a number of pages fitted from how far hosts differ beyond what
+    their sizes explain; where they don't differ, hosts say nothing. ``smooth`` false leaves the trees' prediction.
 
     - Null and empty texts are no case. Each row is judged by itself, repeated and null keys included.
     - A null host has no other pages, so its prediction stays as it is.
-    - Texts of any length are read whole. Without clear cases of both kinds to fit on, the weak rules alone decide, by
-      the share of bait. An empty table gives no rows. Only the three columns are read.
+    - Texts of any length are read whole. Without labelled pages of both kinds to fit on, the weak labels alone decide. An
+      empty table gives no rows. Only the three columns are read.
     """
     pages = written(page_features(docs, key=key, text=text, host=host), "pages")
-    labelled = pages.withColumn("label", weak_label()).where("label IS NOT NULL")
-    # Bounded, uniform and repeatable samples: the rows of either kind with the smallest hashes. Cases are rare, so twice
-    # as many of the other kind keep the trees' candidate thresholds between the two.
-    drawn = labelled.select("label", *FEATURES).orderBy(F.xxhash64(*[F.col(c) for c in FEATURES], "label"))
-    cases = written(drawn.where("label = 1").limit(fit_rows // 2), "cases")
-    n_cases = cases.count()
-    rest = drawn.where("label = 0").limit(min(fit_rows // 4, max(1000, 2 * n_cases)))
-    near = drawn.where("label = 0 AND (bait > 0.05 OR phrases > 0.3 OR links > 0.3)").limit(fit_rows // 4)  # near the line
-    sample = written(cases.unionByName(rest).unionByName(near), "sample")
-    kinds = sample.select("label").distinct().count()
-    if kinds < 2:
-        judged = pages.withColumn("p", F.col("bait"))
-    else:
-        vector = VectorAssembler(inputCols=FEATURES, outputCol="v")
-        forest = RandomForestClassifier(
-            featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=0.8, bootstrap=True, seed=17, minInstancesPerNode=3, maxBins=128
-        )
-        model = forest.fit(vector.transform(sample))
-        judged = model.transform(vector.transform(pages)).withColumn("p", vector_to_array("probability")[1])
-    judged = judged.select("k", "h", "p", "size")
-    rate = judged.agg(F.avg("p")).head()[0] or 0.0
+    judged = _forest(pages, fit_rows, trees, depth).select("k", "h", "p", F.col("s_size").alias("size"))
+    if not smooth:
+        return judged.where((F.col("p") >= threshold) & (F.col("size") > 0)).select(F.col("k").alias(key), F.col("p").alias("score"))
+    judged = written(judged, "judged")
     hosts = judged.where("h IS NOT NULL").groupBy("h").agg(F.sum("p").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    rate, spread, strength = _between(hosts)
+    odds = _logit(F.col("p"))
     joined = judged.join(hosts, "h", "left")
-    others = (F.col("__s") - F.col("p") + F.lit(strength * rate)) / (F.col("__n") - 1 + strength)
-    odds = _logit(F.col("p")) + F.coalesce(F.lit(pull) * (_logit(others) - _logit(F.lit(rate))), F.lit(0.0))
+    if spread:
+        others = (F.col("__s") - F.col("p") + F.lit(strength * rate)) / (F.col("__n") - 1 + strength)
+        odds = odds + F.coalesce(F.lit(pull) * (_logit(others) - _logit(F.lit(rate))), F.lit(0.0))
     scored = joined.withColumn("score", 1 / (1 + F.exp(-odds)))
     return scored.where((F.col("score") >= threshold) & (F.col("size") > 0)).select(F.col("k").alias(key), "score")
+
+
+def _between(hosts: DataFrame) -> tuple[float, bool, float]:
+    """Overall rate, whether hosts differ beyond chance, and the pages by which a host's rate is shrunk: the moments of a
+    beta distribution of rates over the hosts of more than one page, weighted by their pages."""
+    s, n = F.col("__s"), F.col("__n")
+    a = hosts.where("__n > 1").agg(F.sum(s).alias("s"), F.sum(n).alias("n"), F.sum(s * s / n).alias("q"), F.sum(n * n).alias("m"), F.count(F.lit(1)).alias("k")).head()
+    if not a["n"] or a["k"] < 2 or not 0 < a["s"] < a["n"]:
+        return 0.0, False, 0.0
+    rate = a["s"] / a["n"]
+    within = rate * (1 - rate)
+    # Expected sum of n (host rate - rate)^2 is (k - 1) within + (n - m / n) between, up to the share of within.
+    between = (a["q"] - a["s"] ** 2 / a["n"] - (a["k"] - 1) * within) / (a["n"] - a["m"] / a["n"])
+    return (rate, True, max(1.0, within / between - 1)) if between > 0 else (rate, False, 0.0)
