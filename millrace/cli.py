@@ -60,7 +60,7 @@ def _bench(a: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="millrace")
     sub = p.add_subparsers(required=True)
-    for name, f, rows, out in (("generate", _generate, 1_000_000, "/tmp/millrace/log"), ("run", _run, 5_000_000, "/tmp/millrace/run"), ("bench", _bench, 1_000_000, "/tmp/millrace/scale")):
+    for name, f, rows in (("generate", _generate, 1_000_000), ("run", _run, 5_000_000), ("bench", _bench, 1_000_000)):
         q = sub.add_parser(name)
         q.set_defaults(f=f)
         q.add_argument("--rows", type=int, nargs="+" if name == "bench" else 1, default=[rows])
@@ -68,7 +68,7 @@ def main(argv: list[str] | None = None) -> None:
         q.add_argument("--items", type=int, default=5_000)
         q.add_argument("--categories", type=int, default=20)
         q.add_argument("--seed", type=int, default=42)
-        q.add_argument("--out", default=out)
+        q.add_argument("--out", required=True, help="a folder that all executors share")
         if name == "run":
             q.add_argument("--dim", type=int, default=64)
             q.add_argument("--epochs", type=int, default=4)

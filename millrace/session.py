@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,25 +62,56 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Folders of the tables that this process has written.
+#: Folders of the tables written outside of any scope, and of those of the innermost scope of this context.
 _TABLES: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: columnar, so later reads prune columns
-    and skip pages, and independent of any executor. Results that read it stay lazy, so it is kept until ``drop_written``
-    or, in local mode, the end of the process."""
+    and skip pages, and independent of any executor. Columns in ``by`` become folders, of which a filter reads only its own.
+
+    Results that read it stay lazy, so it is kept until its ``scope`` ends; outside of a scope until ``drop_written`` or the
+    end of the process.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
+    mine = _SCOPE.get()
+    if mine is None:
+        if not _TABLES:
+            atexit.register(_drop_at_exit, spark)
+        mine = _TABLES
+    mine.append(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written within it, by this thread or task: store results before."""
+    mine: list[str] = []
+    token = _SCOPE.set(mine)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _drop(spark, mine)
+
+
 def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables written so far; call it once their readers' results are stored. Gives their number."""
+    """Deletes the tables written outside of any scope; call it once their readers' results are stored. Gives their number."""
     n = len(_TABLES)
-    while _TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _drop(spark, _TABLES)
     return n
+
+
+def _drop(spark: SparkSession, tables: list[str]) -> None:
+    while tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    with suppress(Exception):  # the JVM may be gone
+        _drop(spark, _TABLES)

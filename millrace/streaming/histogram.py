@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import shared_dir
+
 
 def counts(events: DataFrame, *keys: str) -> DataFrame:
     """``(field, key, n)`` over several key columns at once; works on batch and streaming frames alike."""
@@ -19,7 +20,7 @@ def run_to_end(stream: DataFrame, *keys: str, checkpoint: str | None = None) ->
     """All available input of ``stream`` through a complete-mode query into a table of counts."""
     spark = stream.sparkSession
     name = f"counts_{uuid.uuid4().hex}"
-    at = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-stream-")
+    at = checkpoint or shared_dir(spark)
     query = (
         counts(stream, *keys).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
     )

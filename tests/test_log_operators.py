@@ -143,9 +143,16 @@ def test_counted_events_keep_the_earliest_delivery(spark):
 
 
 def test_written_tables_are_dropped(spark):
-    from millrace.session import drop_written, written
+    from millrace.session import drop_written, scope, written
 
-    df = written(spark.range(5), "some")
+    df = written(spark.range(5).selectExpr("id", "id % 2 AS odd"), "some", "odd")
+    assert df.count() == 5 and df.where("odd = 1").count() == 2
+    with scope(spark):
+        inner = written(spark.range(3), "inner")
+        assert inner.count() == 3
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):  # noqa: B017
+        inner.count()
     assert df.count() == 5 and drop_written(spark) >= 1 and drop_written(spark) == 0
     spark.catalog.clearCache()
     with pytest.raises(Exception):  # noqa: B017
