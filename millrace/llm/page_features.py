@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 FEATURES = [
     "words", "variety", "hapax", "permuted", "top", "echo", "phrases", "repeated", "tagged", "links", "hosts", "host_variety", "per_link", "bare", "sentences",
-    "sentence_words", "refrain", "code", "digits", "lead", "uniform", "short", "lists",
+    "sentence_count", "sentence_words", "refrain", "code", "digits", "lead", "uniform", "short", "lists",
 ]
 SIGNALS = ["s_size", "s_words", "s_packed", "s_grams", "s_novelty", "s_stops", "s_hosts", "s_urls", "s_symbols", "s_numerals", "s_tail"]
 
@@ -319,7 +319,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "words": n_voc, "variety": rate(n_type, n_voc), "hapax": rate(np.bincount(owner[often == 1], minlength=n), n_voc), "permuted": rate(pairs, n_type), "top": rate(top, n_voc),
         "echo": np.where(n_pair > 0, 1 - rate(pairs, n_pair), 0), "phrases": share(phrase_line), "repeated": share(repeated_line), "tagged": share(tag_line), "links": share(link_line),
         "hosts": hosts, "host_variety": variety, "per_link": rate(np.bincount(text[link_line], n_word[link_line], minlength=n), n_url),
-        "bare": rate(np.bincount(ltext[is_bare], minlength=n), n_url), "sentences": share(sentence_line), "sentence_words": sentence_words, "refrain": refrain, "code": share(code_line),
+        "bare": rate(np.bincount(ltext[is_bare], minlength=n), n_url), "sentences": share(sentence_line), "sentence_count": n_sentence, "sentence_words": sentence_words, "refrain": refrain, "code": share(code_line),
         "digits": rate(np.bincount(text[seg[(g & _DIGIT) > 0]], minlength=n), total), "lead": same(begins), "uniform": np.where(n_line >= FEW_LINES, uniform, 0),
         "short": rate(np.bincount(rtext[rlen <= 3], minlength=n), n_all), "lists": rate(np.bincount(text, n_part, minlength=n), n_all),
         "s_size": total, "s_words": n_all, "s_packed": packed, "s_grams": rate(grams, _distinct(rvalue, rtext, n)), "s_novelty": novelty,
