@@ -73,8 +73,9 @@ def _logit(p: Column) -> Column:
 def _forest(pages: DataFrame, fit_rows: int, trees: int, depth: int) -> DataFrame:
     """``pages`` with the trees' probability ``p``; the labels alone decide where they are all of one kind."""
     labelled = pages.where("s_size > 0").withColumn("label", weak_label()).where("label IS NOT NULL")
-    # Bounded, uniform and repeatable samples: the rows of either kind with the smallest hashes.
-    drawn = labelled.select("label", *FEATURES).orderBy(F.xxhash64(*[F.col(c) for c in FEATURES]))
+    # Bounded, uniform and repeatable samples: the rows of either kind with the smallest hashes. The key is hashed too, so
+    # that copies of a page don't come all or none.
+    drawn = labelled.select("label", *FEATURES, F.xxhash64("k", "h", *FEATURES).alias("__x")).orderBy("__x").drop("__x")
     cases = written(drawn.where("label = 1").limit(fit_rows // (1 + PER_CASE)), "cases")
     n = cases.count()
     others = written(drawn.where("label = 0").limit(fit_rows - fit_rows // (1 + PER_CASE)), "others")
