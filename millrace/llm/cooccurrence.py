@@ -22,6 +22,9 @@ from millrace.session import written
 HUGE = 512
 #: Items of a chunk, about; a task holds one matrix of about this size squared (int32).
 CHUNK = 1024
+#: Chunks at least, so that the pairs of few items still meet in many tasks; and the chunks of a huge basket with which all
+#: its chunks are paired under one key.
+LEAST_CHUNKS, SLICE = 16, 32
 #: Pair codes buffered by a task before they are summed and sent on.
 FLUSH = 2_000_000
 
@@ -166,7 +169,7 @@ def cooccurrence(
     counts = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n_i"))
     kept = counts.where((F.col("n_i") >= min_pair) & (F.col("n_i") * lift <= n_baskets))
     # A hash spreads items over chunks; the place is the rank within a chunk. Chunks are bounded, so is this window.
-    n_chunks = max(1, -(-kept.count() // chunk))
+    n_chunks = max(LEAST_CHUNKS, -(-kept.count() // chunk))
     place = F.row_number().over(Window.partitionBy("c").orderBy("i")) - 1
     coded = kept.withColumn("c", F.pmod(F.xxhash64("i"), F.lit(n_chunks))).withColumn("p", place)
     coded = written(coded.select("i", "n_i", (F.col("c") * 4096 + F.col("p")).alias("code"), "p"), "items")
@@ -187,10 +190,13 @@ def cooccurrence(
 
     whose = pairs.schema["u"].dataType.simpleString()
     split = parts.join(big, "u", "left_semi").select("u", "c", "codes").mapInArrow(_places, f"u {whose}, c int, at binary")
-    x, y = split.select("u", F.col("c").alias("cx"), F.col("at").alias("xs")), split.select("u", F.col("c").alias("cy"), F.col("at").alias("ys"))
+    # The chunk pairs of a basket come out of many keys: one for every few of its chunks.
+    slices = parts.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("s"))
+    split = split.join(slices, "u")
+    x = split.select("u", F.col("c").alias("cx"), F.col("at").alias("xs"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("s"))
+    y = split.select("u", F.col("c").alias("cy"), F.col("at").alias("ys"), F.pmod(F.xxhash64("c"), "s").cast("int").alias("s"))
     cell = F.shiftleft(F.col("cx").cast("bigint"), 32).bitwiseOR(F.col("cy").cast("bigint"))
-    # Spread before the products are listed: a basket with a third of all rows has many chunks.
-    products = x.join(y, "u").where("cx <= cy").select(cell.alias("cell"), F.lit(-1).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "xs", "ys")
+    products = x.join(y, ["u", "s"]).where("cx <= cy").select(cell.alias("cell"), F.lit(-1).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "xs", "ys")
 
     both = ordinary.unionByName(products).repartition("cell").sortWithinPartitions("cell", "key")
     found = both.mapInArrow(_cells(min_pair, side), "ca bigint, cb bigint, n_ab bigint")

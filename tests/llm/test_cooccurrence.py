@@ -58,3 +58,18 @@ def test_negative_and_large_ids_strings_as_baskets_and_no_rows(spark):
     assert got(cooccurrence(df, basket="u", item="i", huge=1)) == brute(rows, 6, 4)
     assert cooccurrence(spark.createDataFrame([], SHAPE), basket="u", item="i").count() == 0
     assert cooccurrence(spark.createDataFrame([(1, 1)], SHAPE), basket="u", item="i").count() == 0
+
+
+def test_one_basket_of_very_many_chunks_comes_out_of_many_keys(spark, monkeypatch):
+    import millrace.llm.cooccurrence as m
+
+    monkeypatch.setattr(m, "SLICE", 2)
+    rng = random.Random(8)
+    baskets = {1: set(range(400)), 2: set(range(0, 400, 2)), 3: set(range(0, 400, 3))} | {10 + u: {rng.randint(0, 399) for _ in range(4)} for u in range(3000)}
+    rows = [(u, i) for u, items in baskets.items() for i in items]
+    df = spark.createDataFrame(rows, "user_id long, item_id long").repartition(4)
+    count = Counter(p for items in baskets.values() for p in combinations(sorted(items), 2))
+    n_i, n = Counter(i for items in baskets.values() for i in items), len(baskets)
+    want = {(a, b, k) for (a, b), k in count.items() if k >= 2 and k * n >= 4 * n_i[a] * n_i[b]}
+    got = {(r[0], r[1], r[2]) for r in cooccurrence(df, basket="user_id", item="item_id", min_pair=2, huge=50, chunk=10).collect()}
+    assert got == want and want
