@@ -4,8 +4,8 @@ Only the lengths matter for packing, so the whole corpus shrinks to a histogram
 it, each container starts with the longest length left and a bitset subset-sum picks the multiset of remaining lengths
 that fills the rest closest to capacity; the backtracked counts tell how many containers in a row can be filled alike.
 The resulting runs are bounded by the capacity, not by the rows. Every item then finds its container from its rank
-among the items of its length, and ranks are made in salted groups, so a length that a third of all items share is no
-hot spot.
+among the items of its length, and ranks are made in groups, as many as the number of items of the length asks for, so a
+length that a third of all items share is no hot spot. Each container size is packed by a task of its own.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import TOKENIZERS, token_counts
 from millrace.session import written
 
-#: Groups into which the items of one length are split for ranking.
-SALTS = 64
+#: Items of one length that are ranked together; more are split into as many groups as it takes.
+RANKED = 100_000
 #: Rows of pack_sizes at most: they are driver-side parameters.
 MAX_SIZES = 1000
 
@@ -79,20 +79,33 @@ def min_slack_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, lis
     return runs
 
 
+def run_rows(size: int, runs: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """``(size, length, first rank, copies per container, first container, containers)`` of each length in each run."""
+    rows, base, ranked = [], 0, {}
+    for times, used in runs:
+        for v, k in used:
+            rows.append((size, v, ranked.get(v, 0), k, base, times))
+            ranked[v] = ranked.get(v, 0) + times * k
+        base += times
+    return rows
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (size, capacity, lengths, counts) to the rows of their runs."""
+    for b in batches:
+        for size, capacity, lengths, counts in zip(*(c.to_pylist() for c in b.columns)):
+            rows = run_rows(size, min_slack_runs(dict(zip(lengths, counts)), capacity))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=["size", "v", "rank", "copies", "base", "times"])
+
+
 class _Runs:
     """For each (size, length): rank intervals, copies per container and first container."""
 
-    def __init__(self, plans: dict[int, list[tuple[int, list[tuple[int, int]]]]]):
-        rows, self.containers = [], {}
-        for size, runs in plans.items():
-            base, ranked = 0, {}
-            for times, used in runs:
-                for v, k in used:
-                    rows.append((size, v, ranked.get(v, 0), k, base))
-                    ranked[v] = ranked.get(v, 0) + times * k
-                base += times
-            self.containers[size] = base
-        self.cols = np.array(sorted(rows), np.int64).reshape(-1, 5)
+    def __init__(self, rows: list[tuple[int, int, int, int, int, int]]):
+        self.containers: dict[int, int] = {}
+        for r in rows:
+            self.containers[r[0]] = max(self.containers.get(r[0], 0), r[4] + r[5])
+        self.cols = np.array(sorted(rows), np.int64).reshape(-1, 6)
         key = self.cols[:, :2]
         first = np.concatenate(([True], (key[1:] != key[:-1]).any(1))) if len(key) else np.zeros(0, bool)
         self.of = {(int(s), int(v)): i for i, (s, v) in zip(np.flatnonzero(first), key[first])}
@@ -115,6 +128,7 @@ def fill_containers(docs: DataFrame, sizes: DataFrame, *, key: str, text: str, f
 
     - Null and empty texts have one part of 0 tokens and take turns over the containers (container 0 if there are none).
     - Each row is an item of its own, repeated and null keys included. Texts of any length are measured whole.
+    - Among equal lengths the order is by a hash group, then by key and part.
     - A row of ``sizes`` with a null field or a capacity below 1 raises ValueError; repeated rows count once; an empty
       ``sizes`` or ``docs`` gives no rows. Other columns are not read.
     """
@@ -139,14 +153,14 @@ def fill_containers(docs: DataFrame, sizes: DataFrame, *, key: str, text: str, f
     last = F.greatest(F.ceil(n / c) - 1, F.lit(0)).cast("int")
     items = measured.join(F.broadcast(plan), "tokenizer").select("size_id", "k", "capacity", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("part"))
     items = items.select("size_id", "k", "part", F.least(n - F.col("part") * c, c).cast("int").alias("v"))
-    items = items.withColumn("salt", F.pmod(F.xxhash64("k", "part"), F.lit(SALTS)).cast("int"))
-
-    groups = written(items.groupBy("size_id", "v", "salt").agg(F.count(F.lit(1)).alias("c")), "lengths")
     # At most capacity + 1 rows a size.
-    histogram: dict[int, dict[int, int]] = {s: {} for s, _, _ in wanted}
-    for s, v, m in groups.where("v > 0").groupBy("size_id", "v").agg(F.sum("c")).collect():
-        histogram[s][v] = m
-    runs = spark.sparkContext.broadcast(_Runs({s: min_slack_runs(histogram[s], cap) for s, _, cap in wanted}))
+    histogram = written(items.groupBy("size_id", "v").agg(F.count(F.lit(1)).alias("c")), "lengths")
+    items = items.join(F.broadcast(histogram.select("size_id", "v", F.ceil(F.col("c") / RANKED).cast("int").alias("salts"))), ["size_id", "v"])
+    items = items.withColumn("salt", F.pmod(F.xxhash64("k", "part"), "salts").cast("int"))
+    groups = items.groupBy("size_id", "v", "salt").agg(F.count(F.lit(1)).alias("c"))
+    lists = histogram.where("v > 0").groupBy("size_id").agg(F.collect_list("v").alias("vs"), F.collect_list("c").alias("cs"))
+    lists = lists.join(F.broadcast(plan), "size_id").select("size_id", "capacity", "vs", "cs").repartition(len(wanted), "size_id")
+    runs = spark.sparkContext.broadcast(_Runs([tuple(r) for r in lists.mapInArrow(_packed, "size bigint, v bigint, rank bigint, copies bigint, base bigint, times bigint").collect()]))
 
     before = Window.partitionBy("size_id", "v").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("size_id", "v", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
