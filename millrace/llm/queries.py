@@ -90,7 +90,16 @@ a AS (SELECT p.item_id_a, p.item_id_b, p.n_ab, i.n AS n_a, j.n AS n_b, t.n AS n_
   WHERE p.n_ab * t.n >= 4 * i.n * j.n)
 """
 
+# All pairs, which is what these table sizes allow; the operator itself is approximate.
+_SIMILAR_SQL = """WITH s AS (SELECT item_id, min(CAST(vec AS DOUBLE[])) AS v FROM item_emb
+  WHERE item_id IS NOT NULL AND vec IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY item_id),
+c AS (SELECT a.item_id AS q, b.item_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM s a JOIN s b ON a.item_id <> b.item_id),
+r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS r FROM c)
+SELECT DISTINCT least(q, id) AS item_id_a, greatest(q, id) AS item_id_b FROM r WHERE r <= 5"""
+
 SQL = {
+    "p2_found": _SIMILAR_SQL,
     "p1_found": _TOP_SQL + "SELECT user_id, item_id FROM r WHERE rank <= 10",
     "p1_top_items": _TOP_SQL + "SELECT user_id, item_id, n_events, rank FROM r WHERE rank <= 10",
     "p5_found": _TOGETHER_SQL + "SELECT item_id_a, item_id_b FROM a",
