@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
 from millrace.functions.generator_math import cumulative, trend_table, zipf_weights
-from millrace.functions.hashing import uniform_sql, with_uniforms
+from millrace.functions.hashing import key_hash_sql, uniform_sql, with_key_hash, with_uniforms
 from millrace.operators import baselines, metrics, search, stats
 from millrace.operators.ranker import Ranker, importance_pairs, pair_features, training_pairs
 from millrace.operators.sampling import negative_samples, positive_sample
@@ -25,20 +25,19 @@ from millrace.sources.generator import GeneratorConfig, generate
 from millrace.streaming.histogram import counts, head_share, read_events, run_to_end, windowed_popularity
 
 K, SEED, TAU = 20, 42, 0.05
-#: Vectors in the embeddings table that stand in for towers: an id maps to id % TOWER.
-TOWER = 500
+#: The vectors of the embeddings table stand in for towers: an id maps to id modulo their number.
+TOWER = "(SELECT count(*) FROM embeddings)"
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
-    li = table(spark, d, "lineitem")
     sec = F.unix_micros(F.col("l_shipdate").cast("timestamp")).cast("double") / 1e6
+    li = table(spark, d, "lineitem").withColumn("__q", F.col("l_quantity").cast("bigint"))
     # Keys and quantity together identify a row; lines of an order share numbers.
-    number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 262_144 + F.col("l_partkey")) * 16_384 + F.col("l_suppkey")
-    number = number * 64 + F.col("l_quantity").cast("bigint")
-    li = li.select("l_orderkey", number.alias("event_id"), F.col("l_partkey").alias("item_id"), sec.alias("ts"))
+    li = with_key_hash(li, "event_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "__q")
+    li = li.select("l_orderkey", "event_id", F.col("l_partkey").alias("item_id"), sec.alias("ts"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("category"))
-    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, "item_id").select("event_id", "user_id", "item_id", "ts", "category")
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, "item_id").select("event_id", "user_id", "item_id", "ts", "category", F.col("l_orderkey").alias("order_id"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -63,9 +62,10 @@ def searchers(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vec")
 
 
-LOG_SQL = """log AS (SELECT (((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS event_id, o_custkey AS user_id, l_partkey AS item_id,
-    CAST(epoch_us(l_shipdate) AS DOUBLE) / 1e6 AS ts, p_brand AS category
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+_KEYS_SQL = key_hash_sql("lineitem", "event_id", "lk", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(l_quantity AS BIGINT)")
+LOG_SQL = f"""{_KEYS_SQL},
+log AS (SELECT event_id, o_custkey AS user_id, l_partkey AS item_id, CAST(epoch_us(l_shipdate) AS DOUBLE) / 1e6 AS ts, p_brand AS category, l_orderkey AS order_id
+  FROM lk JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 SPLIT_SQL = f"""{LOG_SQL},
 thr AS (SELECT quantile_cont(ts, 0.8) AS t FROM log),
 train AS (SELECT log.* FROM log JOIN thr ON ts < t),
@@ -192,12 +192,20 @@ pop AS (SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM (
   SELECT ev.user_id, head.item_id, row_number() OVER (PARTITION BY ev.user_id ORDER BY pop_rank) AS rank
   FROM ev JOIN head ON true WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = ev.user_id AND h.item_id = head.item_id)) WHERE rank <= {K})"""
 _DRAWS = 8 * K
+_FIRST, _PARTS = "(SELECT min(p_partkey) FROM part)", "(SELECT count(*) FROM part)"
 _RANDOM_SQL = f"""{STATS_SQL},
 dr AS (SELECT user_id, t, user_id * {_DRAWS} + t AS ix FROM ev JOIN (SELECT unnest(range({_DRAWS})) AS t) ON true),
 {uniform_sql("dr", "ix", 0, SEED, "x", "h")},
-fresh AS (SELECT user_id, item_id, min(t) AS t FROM (SELECT user_id, t, CAST(floor(x * (SELECT count(*) FROM part)) AS BIGINT) + 1 AS item_id FROM h4) q
+fresh AS (SELECT user_id, item_id, min(t) AS t FROM (SELECT user_id, t, CAST(floor(x * {_PARTS}) AS BIGINT) + {_FIRST} AS item_id FROM h4) q
   WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = q.user_id AND h.item_id = q.item_id) GROUP BY user_id, item_id),
-rnd AS (SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS rank FROM fresh) WHERE rank <= {K})"""
+early AS (SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS rank FROM fresh) WHERE rank <= {K}),
+short AS (SELECT ev.user_id, count(early.item_id) AS had FROM ev LEFT JOIN early ON early.user_id = ev.user_id GROUP BY ev.user_id HAVING count(early.item_id) < {K}),
+listed AS (SELECT user_id, had, p_partkey AS item_id, user_id * {_PARTS} + p_partkey - {_FIRST} AS ix FROM short JOIN part ON true
+  WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.user_id = short.user_id AND h.item_id = p_partkey)
+  AND NOT EXISTS (SELECT 1 FROM early e WHERE e.user_id = short.user_id AND e.item_id = p_partkey)),
+{uniform_sql("listed", "ix", 1, SEED, "x", "g")},
+rnd AS (SELECT user_id, item_id, rank FROM early UNION ALL SELECT user_id, item_id, CAST(rank AS INTEGER) FROM (
+  SELECT user_id, item_id, had + row_number() OVER (PARTITION BY user_id ORDER BY x, item_id) AS rank FROM g4) WHERE rank <= {K})"""
 
 
 def _per_user_sql(recs: str) -> str:
@@ -225,10 +233,15 @@ def _popularity(spark: SparkSession, d: str) -> tuple[Split, DataFrame, DataFram
     return s, st, baselines.popularity_recs(s, stats.popularity_ranking(st), K)
 
 
+def _first(spark: SparkSession, d: str) -> int:
+    """Part keys are consecutive, from any first one."""
+    return items(spark, d).agg(F.min("item_id")).head()[0] or 0
+
+
 def _random(spark: SparkSession, d: str) -> tuple[Split, DataFrame, DataFrame]:
     s = _stored(_split(spark, d))
     st = cut(stats.item_stats(s.train, items(spark, d)))
-    return s, st, baselines.random_recs(s, items(spark, d).count(), K, SEED, first_item=1)
+    return s, st, baselines.random_recs(s, items(spark, d).count(), K, SEED, first_item=_first(spark, d))
 
 
 def _metrics(spark: SparkSession, d: str, method: str, got: tuple[Split, DataFrame, DataFrame]) -> DataFrame:
@@ -288,7 +301,7 @@ long AS (SELECT method, 'recall' AS metric, recall AS value FROM m UNION ALL SEL
 def _both(spark: SparkSession, d: str) -> DataFrame:
     s, st, pop = _popularity(spark, d)
     n = items(spark, d).count()
-    rnd = baselines.random_recs(s, n, K, SEED, first_item=1)
+    rnd = baselines.random_recs(s, n, K, SEED, first_item=_first(spark, d))
     a, b = (metrics.rounded(metrics.evaluate(r, s, st, method=m, k=K, n_items=n), 6) for m, r in (("random", rnd), ("popularity", pop)))
     return a.unionByName(b)
 
@@ -390,9 +403,10 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 def _towers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Stand-in embeddings for every customer and part, from the frozen vectors; the item bias is ln(1 + id % 7)."""
-    v = vectors(spark, d).select(F.col("item_id").alias("__k"), "vec").where(F.col("__k") < TOWER)
-    u = users(spark, d).withColumn("__k", F.col("user_id") % TOWER).join(v, "__k").select("user_id", "vec")
-    i = items(spark, d).withColumn("__k", F.col("item_id") % TOWER).join(v, "__k").select("item_id", "vec", F.log1p(F.col("item_id") % 7).alias("bias"))
+    v = vectors(spark, d).select(F.col("item_id").alias("__k"), "vec")
+    n = v.count()
+    u = users(spark, d).withColumn("__k", F.col("user_id") % n).join(v, "__k").select("user_id", "vec")
+    i = items(spark, d).withColumn("__k", F.col("item_id") % n).join(v, "__k").select("item_id", "vec", F.log1p(F.col("item_id") % 7).alias("bias"))
     return u, i
 
 
@@ -411,9 +425,8 @@ def pair_score(spark: SparkSession, d: str) -> DataFrame:
 
 #: Every event belongs to the mini-batch of its order key.
 _BATCH_ORDERS = 16
-_PER_ORDER = 8 * 262_144 * 16_384 * 64
 _BATCH_SQL = f"""{STATS_SQL}, {_E},
-b AS (SELECT event_id // {_PER_ORDER} // {_BATCH_ORDERS} AS batch, event_id AS pos, log.item_id, u.vec AS u, v.vec AS v, ln(1 + log.item_id % 7) AS bias, ln(prob) AS logq
+b AS (SELECT order_id // {_BATCH_ORDERS} AS batch, event_id AS pos, log.item_id, u.vec AS u, v.vec AS v, ln(1 + log.item_id % 7) AS bias, ln(prob) AS logq
   FROM log JOIN e u ON u.item_id = log.user_id % {TOWER} JOIN e v ON v.item_id = log.item_id % {TOWER} JOIN ist ON ist.item_id = log.item_id),
 z AS (SELECT r.batch, r.pos, c.pos AS col, CASE WHEN r.item_id = c.item_id AND r.pos <> c.pos THEN -1e9
     ELSE list_dot_product(r.u, c.v) / {TAU} + c.bias - c.logq END AS z FROM b r JOIN b c ON r.batch = c.batch),
@@ -426,7 +439,7 @@ def _batches(spark: SparkSession, d: str) -> DataFrame:
     u, i = _towers(spark, d)
     q = stats.logq(_item_stats(spark, d))
     j = log(spark, d).join(u.withColumnRenamed("vec", "u"), "user_id").join(i.withColumnRenamed("vec", "v").join(q, "item_id"), "item_id")
-    batch = F.expr(f"event_id div {_PER_ORDER} div {_BATCH_ORDERS}")
+    batch = F.expr(f"order_id div {_BATCH_ORDERS}")
     return j.select(batch.alias("batch"), F.col("event_id").alias("pos"), "item_id", "u", "v", "bias", "logq")
 
 
@@ -457,8 +470,7 @@ def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
     u, _ = _towers(spark, d)
     v = vectors(spark, d).where("item_id > 0").select("item_id", "vec")
     q = u.join(s.eval_users, "user_id", "left_semi").select(F.col("user_id").alias("query_id"), "vec")
-    seen = s.history.join(v.select("item_id"), "item_id", "left_semi").groupBy("user_id").count().agg(F.max("count")).head()[0] or 0
-    return search.candidate_pool(search.exact_topk(q, v, 10 + seen), s.history, 10)
+    return search.exact_topk(q, v, 10, seen=s.history).select(F.col("query_id").alias("user_id"), "item_id", "score", "rank")
 
 
 @query(
@@ -486,10 +498,10 @@ def positive_sample_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {LOG_SQL}, lg AS (SELECT event_id, user_id, j, event_id * 4 + j AS ix FROM log JOIN (SELECT unnest([0, 1, 2, 3]) AS j) ON true), {uniform_sql('lg', 'ix', 1, SEED, 'x', 'h')}
-SELECT event_id, user_id, CAST(floor(x * (SELECT count(*) FROM part)) AS BIGINT) + 1 AS item_id, j FROM h4"""
+SELECT event_id, user_id, CAST(floor(x * {_PARTS}) AS BIGINT) + {_FIRST} AS item_id, j FROM h4"""
 )
 def negative_sample_rows(spark: SparkSession, d: str) -> DataFrame:
-    return negative_samples(log(spark, d), "event_id", items(spark, d).count(), 4, SEED, first_item=1)
+    return negative_samples(log(spark, d), "event_id", items(spark, d).count(), 4, SEED, first_item=_first(spark, d))
 
 
 # -- generator --------------------------------------------------------------------------------------------------------

@@ -58,23 +58,21 @@ class _Batch(DataSourceReader):
 
 
 class _Stream(DataSourceStreamReader):
-    """Emits ``chunk`` events per micro-batch until ``rows`` are out; memory is bounded by the chunk."""
+    """Events by their number, up to ``rows``, in partitions of ``chunk``. The position is Spark's alone: the reader keeps
+    none, so a restarted query goes on from the offset that Spark stored, without a gap or a repetition."""
 
     def __init__(self, options):
         self.cfg, self.rows = _config(options)
         self.chunk = int(options.get("chunk", 100_000))
-        self.at = 0
 
     def initialOffset(self):
         return {"at": 0}
 
     def latestOffset(self):
-        self.at = min(self.at + self.chunk, self.rows)
-        return {"at": self.at}
+        return {"at": self.rows}
 
     def partitions(self, start, end):
-        self.at = max(self.at, end["at"])
-        return [Span(start["at"], end["at"])] if end["at"] > start["at"] else []
+        return [Span(lo, min(lo + self.chunk, end["at"])) for lo in range(start["at"], end["at"], self.chunk)]
 
     def read(self, partition):
         yield from _read(self.cfg, self.rows, partition)
