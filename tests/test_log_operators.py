@@ -157,3 +157,11 @@ def test_written_tables_are_dropped(spark):
     spark.catalog.clearCache()
     with pytest.raises(Exception):  # noqa: B017
         df.count()
+
+
+def test_a_restarted_stream_goes_on_where_it_stopped(spark, tmp_path):
+    register(spark)
+    for rows in (300, 700):
+        s = spark.readStream.format("millrace_events").options(rows=rows, chunk=100, n_users=20, n_items=10, n_categories=3).load().select("event_id")
+        s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(rows))
