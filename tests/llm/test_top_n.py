@@ -53,3 +53,9 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, 2, 3.0)], "user long, item long, score double").selectExpr("*", "1 AS b", "2 AS r", "3 AS band", "4 AS above", "5 AS g")
     out = top_n_per_group(df, group="user", item="item", score="score")
     assert out.columns == ["user", "item", "score", "rank"] and [tuple(r) for r in out.collect()] == [(1, 2, 3.0, 1)]
+
+
+def test_missing_scores_come_below_minus_infinity(spark):
+    rows = [(1, 1, float("nan")), (1, 2, float("-inf")), (1, 3, None), (1, 4, float("inf")), (1, 5, 0.0)]
+    df = spark.createDataFrame(rows, SHAPE)
+    assert [r["i"] for r in top_n_per_group(df, group="g", item="i", score="s", n=5).orderBy("rank").collect()] == [4, 5, 2, 1, 3]
