@@ -25,15 +25,21 @@ class Split:
         return self.ground_truth.select("user_id").distinct()
 
 
+def threshold_of(log: DataFrame, test_frac: float = 0.2) -> float:
+    """The interpolated ``1 - test_frac`` quantile of ``ts``."""
+    threshold = exact_quantile(log, "ts", 1.0 - test_frac)
+    if threshold is None:
+        raise ValueError("an empty log can't be split")
+    return threshold
+
+
 def temporal_split(log: DataFrame, test_frac: float = 0.2) -> Split:
     """Events before the interpolated ``1 - test_frac`` quantile of ``ts`` train, the rest (ties included) test.
 
     The threshold is collected to a literal, so the filters reach the scan. Ground truth is what users with a history
     take anew: a semi join, then an anti join on the pair.
     """
-    threshold = exact_quantile(log, "ts", 1.0 - test_frac)
-    if threshold is None:
-        raise ValueError("an empty log can't be split")
+    threshold = threshold_of(log, test_frac)
     train, test = log.where(F.col("ts") < threshold), log.where(F.col("ts") >= threshold)
     history = train.select("user_id", "item_id").distinct()
     known = test.select("user_id", "item_id").distinct().join(history.select("user_id").distinct(), "user_id", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -110,6 +111,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
         _drop(spark, mine)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of frames that nothing refers to any more: Spark removes them after a collection of the
+    driver's garbage, which else may not come before the disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_written(spark: SparkSession) -> int:
     """Deletes the tables written outside of any scope; call it once their readers' results are stored. Gives their number."""
     n = len(_TABLES)
